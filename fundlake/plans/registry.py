@@ -26,8 +26,28 @@ def _registries():
     return out
 
 
+def _ntz(df):
+    """Present instants as UTC wall-clock (TIMESTAMP_NTZ) so results do not depend on the
+    client's local time zone."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    if not any(isinstance(f.dataType, T.TimestampType) for f in df.schema.fields):
+        return df
+    return df.select(*[F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name)
+                       if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
+def _wrap(fn):
+    def run(spark, sf_dir):
+        return _ntz(fn(spark, sf_dir))
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def all_queries():
-    return {k: v[0] for k, v in _registries().items()}
+    return {k: _wrap(v[0]) for k, v in _registries().items()}
 
 
 def all_oracle_sql():

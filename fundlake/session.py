@@ -32,6 +32,8 @@ DEFAULT_CONF = {
 def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "fundlake",
               extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library defaults."""
+    # pandas deprecation chatter from Arrow-batched Python workers
+    os.environ.setdefault("PYTHONWARNINGS", "ignore::FutureWarning")
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
