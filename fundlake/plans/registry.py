@@ -9,6 +9,7 @@ _MODULES = [
     "fundlake.plans.catalog",
     "fundlake.plans.catalog_ops",
     "fundlake.plans.catalog_text",
+    "fundlake.plans.catalog_rules",
     "fundlake.streaming.catalog_streams",
 ]
 
