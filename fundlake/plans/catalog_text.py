@@ -79,22 +79,23 @@ chunks AS (SELECT concat(cast(doc_id AS string), ':', cast(pos AS string)) AS ch
 
 def _bm25_sql(chunk_filter: str = "TRUE") -> str:
     return _CHUNKS_SQL + f""",
-ctok AS (SELECT chunk_id, {_tok('chunk_text')} AS toks FROM chunks WHERE {chunk_filter}),
-post AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM ctok) x
-         GROUP BY term, chunk_id, dl),
+ctok AS (SELECT chunk_id, doc_id, pos, {_tok('chunk_text')} AS toks FROM chunks WHERE {chunk_filter}),
+post AS (SELECT term, chunk_id, doc_id, pos, dl, count(*) AS tf
+         FROM (SELECT chunk_id, doc_id, pos, len(toks) AS dl, unnest(toks) AS term FROM ctok) x
+         GROUP BY term, chunk_id, doc_id, pos, dl),
 stats AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM ctok),
 dft AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 qt AS (SELECT DISTINCT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark),
 scored AS (
-  SELECT q.query_id, p.chunk_id,
+  SELECT q.query_id, p.chunk_id, p.doc_id, p.pos,
          sum(ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) * (p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avgdl))) AS score
-  FROM qt q JOIN dft d ON q.term = d.term JOIN post p ON p.term = q.term CROSS JOIN stats s GROUP BY 1, 2)"""
+  FROM qt q JOIN dft d ON q.term = d.term JOIN post p ON p.term = q.term CROSS JOIN stats s GROUP BY 1, 2, 3, 4)"""
 
 
 _BM25_FINAL = """
 SELECT query_id, chunk_id, score, rank FROM (
   SELECT query_id, chunk_id, CAST(round(score, 6) AS DECIMAL(18,6)) AS score,
-         row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(score, 6) AS DECIMAL(18,6)) DESC, chunk_id) AS rank
+         row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(score, 6) AS DECIMAL(18,6)) DESC, doc_id, pos) AS rank
   FROM scored) x WHERE rank <= 6"""
 
 
@@ -142,8 +143,10 @@ def _bm25(spark, sf_dir, chunk_filter=None):
         ch = ch.join(corpus_rows(spark, sf_dir).select("doc_id", "audience", "region"), "doc_id").filter(chunk_filter)
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
                                                        F.col("text").alias("query_text"))
-    r = corpus.bm25_top_k(ch, q, 6)
-    return r.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    from fundlake.session import materialize
+    r = corpus.bm25_top_k(ch, q, 6, materialize=lambda d: materialize(d, "bm25-postings"))
+    cid = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string"))
+    return r.select("query_id", cid.alias("chunk_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("corpus_keyword_top6", "WITH " + _bm25_sql() + _BM25_FINAL)

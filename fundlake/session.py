@@ -72,3 +72,15 @@ def checkpoint_root(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint dir for one job (stream state, table cut)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Used where one intermediate feeds several branches of a plan (an index, a
+    statistics table): the work is done once, and the written files cut the
+    lineage, so a lost executor recomputes from them rather than from the sources.
+    """
+    path = checkpoint_root(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
