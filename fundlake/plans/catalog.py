@@ -361,7 +361,7 @@ WHERE {_LATEST} AND u.fiscal_year = '{FY}' AND d.region_id = '{REGION_ID}'"""))
 def q_region_home(spark, sf_dir):
     m = _m(spark, sf_dir)
     u = m.utilization
-    u = u.filter(F.col("date_key") == u.agg(F.max("date_key")).scalar())
+    u = u.filter(F.col("date_key") == m.latest_snapshot())
     j = u.filter(F.col("fiscal_year") == FY).join(m.dim_dealer.filter(F.col("region_id") == REGION_ID)
                                                   .select("dealer_id"), "dealer_id")
     r = j.agg(F.sum("unused_usd").alias("u"), F.sum("allocated_usd").alias("a"), F.sum("paid_usd").alias("p"),
@@ -378,7 +378,7 @@ GROUP BY d.dealer_name HAVING sum(u.unused_usd) > 40000 ORDER BY unused_usd DESC
 def q_region_home_at_risk(spark, sf_dir):
     m = _m(spark, sf_dir)
     u = m.utilization
-    u = u.filter(F.col("date_key") == u.agg(F.max("date_key")).scalar())
+    u = u.filter(F.col("date_key") == m.latest_snapshot())
     j = u.filter(F.col("fiscal_year") == FY).join(
         m.dim_dealer.filter(F.col("region_id") == REGION_ID).select("dealer_id", "dealer_name"), "dealer_id")
     r = j.groupBy("dealer_name").agg(F.sum("unused_usd").alias("s")).filter(F.col("s") > 40000)

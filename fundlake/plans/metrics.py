@@ -49,7 +49,7 @@ class View:
 
 def _latest_snapshot(model: Model, src: DataFrame) -> Column:
     """date_key = (SELECT max(date_key) FROM source) as a scalar subquery."""
-    return F.col("date_key") == getattr(model, "utilization").agg(F.max("date_key")).scalar()
+    return F.col("date_key") == model.latest_snapshot()
 
 
 _DEALER = Join("dim_dealer", "dealer_id", "dealer_id")

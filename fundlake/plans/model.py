@@ -25,6 +25,13 @@ class Model:
         self.silver = Silver(spark, sf_dir)
         self.dom = self.silver.dom
 
+    def latest_snapshot(self):
+        """D6 value: max(date_key) of the utilization source.  The computed source holds
+        exactly one snapshot (``as_of``), so the maximum is that literal and the filter
+        costs nothing; a table-backed model would use a scalar subquery instead."""
+        from pyspark.sql import functions as F
+        return F.lit(self.as_of).cast("date")
+
     # gold facts
     @cached_property
     def utilization(self) -> DataFrame:

@@ -87,8 +87,9 @@ class Silver:
         """A11 spine spanning every fiscal year present in the claim feed (bounds are
         scalar subqueries, so the spine is generated in one task of bounded size)."""
         fys = self.dom.fiscal_years
-        lo = F.make_date(fys.agg(F.min("fy")).scalar(), F.lit(3), F.lit(1))
-        hi = F.date_sub(F.make_date(fys.agg(F.max("fy")).scalar() + 1, F.lit(3), F.lit(1)), 1)
+        b = fys.agg(F.struct(F.min("fy").alias("lo"), F.max("fy").alias("hi"))).scalar()
+        lo = F.make_date(b.getField("lo"), F.lit(3), F.lit(1))
+        hi = F.date_sub(F.make_date(b.getField("hi") + 1, F.lit(3), F.lit(1)), 1)
         return fiscal.calendar(self.spark, lo, hi)
 
     # --------------------------------------------------------------- facts

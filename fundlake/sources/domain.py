@@ -194,8 +194,8 @@ class Domain:
         cross join is planned.
         """
         fys = self.fiscal_years
-        lo = fys.agg(F.min("fy")).scalar()
-        hi = fys.agg(F.max("fy")).scalar()
+        bounds = fys.agg(F.struct(F.min("fy").alias("lo"), F.max("fy").alias("hi"))).scalar()
+        lo, hi = bounds.getField("lo"), bounds.getField("hi")
         d = self.dealer.select("dealer_id", "tier", "c_custkey")
         k = F.col("c_custkey")
         grid = (d.withColumn("fy", F.explode(F.sequence(lo, hi)))
