@@ -97,9 +97,15 @@ def matched_pairs(dm: DataFrame, k: int = K_CONTROLS) -> DataFrame:
 
 
 def matched_control_lift(perf: DataFrame, dealers: DataFrame, claims: DataFrame, k: int = K_CONTROLS,
-                         window_days: int = WINDOW_DAYS) -> DataFrame:
-    """One row per treated dealer-month with its control mean and lift."""
+                         window_days: int = WINDOW_DAYS, materialize=None) -> DataFrame:
+    """One row per treated dealer-month with its control mean and lift.
+
+    The dealer-month table feeds five branches of the plan (treated side, control
+    side, value ranks, positions, output); ``materialize`` writes it once.
+    """
     dm = dealer_months(perf, dealers, claims, window_days)
+    if materialize is not None:
+        dm = materialize(dm)
     pairs = matched_pairs(dm, k)
     ctl = (pairs.groupBy("region", "tier", "month", "t_dealer")
            .agg(F.count(F.lit(1)).alias("n_controls"), F.sum("c_revenue").alias("control_revenue_sum")))

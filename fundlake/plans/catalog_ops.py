@@ -523,7 +523,9 @@ lift_rows AS (
 
 def _lift_rows(spark, sf_dir) -> DataFrame:
     m = _m(spark, sf_dir)
-    return lift.matched_control_lift(m.dealer_performance, m.dealer_flat, m.silver.coop_claim)
+    from fundlake.session import materialize
+    return lift.matched_control_lift(m.dealer_performance, m.dealer_flat, m.silver.coop_claim,
+                                     materialize=lambda d: materialize(d, "lift-dealer-months"))
 
 
 @register("lift_treated_months", q("""

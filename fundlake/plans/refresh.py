@@ -10,6 +10,7 @@ shared folder (by default a fresh folder below ``spark.checkpoint.dir``).
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -24,8 +25,20 @@ FACT_PARTITION = {"coop_allocation": ["fiscal_year"], "coop_claim": ["fiscal_yea
                   "sell_through_order": ["fiscal_year"], "marketing_event": ["fiscal_year"]}
 
 
+def _write_all(jobs: dict, parallel: int) -> dict[str, float]:
+    """Submit independent table writes concurrently: each is its own Spark job, and
+    small jobs would otherwise leave most executor slots idle."""
+    def run(item):
+        name, fn = item
+        t0 = time.time()
+        fn()
+        return name, time.time() - t0
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return dict(pool.map(run, jobs.items()))
+
+
 def refresh(spark: SparkSession, sf_dir: str, out_dir: str | None = None, as_of: str = "2001-10-13",
-            horizon_days: int = gold.DEFAULT_HORIZON_DAYS) -> dict[str, float]:
+            horizon_days: int = gold.DEFAULT_HORIZON_DAYS, parallel: int = 4) -> dict[str, float]:
     out_dir = out_dir or checkpoint_root(spark, "refresh")
     s = Silver(spark, sf_dir)
     timings: dict[str, float] = {}
@@ -33,10 +46,10 @@ def refresh(spark: SparkSession, sf_dir: str, out_dir: str | None = None, as_of:
               "fiscal_calendar": s.fiscal_calendar_from_data(), "coop_allocation": s.coop_allocation,
               "coop_claim": s.coop_claim, "sell_through_order": s.sell_through_order,
               "marketing_event": s.marketing_event}
-    for name in SILVER_TABLES:
-        t0 = time.time()
-        sinks.overwrite(frames[name], f"{out_dir}/silver/{name}", partition_by=FACT_PARTITION.get(name))
-        timings[f"silver.{name}"] = time.time() - t0
+    jobs = {f"silver.{n}": (lambda n=n: sinks.overwrite(frames[n], f"{out_dir}/silver/{n}",
+                                                        partition_by=FACT_PARTITION.get(n)))
+            for n in SILVER_TABLES}
+    timings.update(_write_all(jobs, parallel))
 
     def rd(name):
         return spark.read.parquet(f"{out_dir}/silver/{name}")
@@ -50,8 +63,8 @@ def refresh(spark: SparkSession, sf_dir: str, out_dir: str | None = None, as_of:
                                             ["fiscal_year"]),
         "fact_activity_lift": (gold.activity_lift(rd("coop_claim"), rd("dealer"), rd("activity_type")), None),
     }
-    for name, (df, parts) in golds.items():
-        t0 = time.time()
-        sinks.overwrite(df, f"{out_dir}/gold/{name}", partition_by=parts)
-        timings[f"gold.{name}"] = time.time() - t0
+    jobs = {f"gold.{n}": (lambda n=n, df=df, parts=parts: sinks.overwrite(df, f"{out_dir}/gold/{n}",
+                                                                         partition_by=parts))
+            for n, (df, parts) in golds.items()}
+    timings.update(_write_all(jobs, parallel))
     return timings
