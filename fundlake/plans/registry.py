@@ -11,6 +11,7 @@ _MODULES = [
     "fundlake.plans.catalog_text",
     "fundlake.plans.catalog_rules",
     "fundlake.streaming.catalog_streams",
+    "fundlake.sources.catalog_sources",
 ]
 
 
