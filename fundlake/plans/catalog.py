@@ -44,7 +44,7 @@ def register(name: str, sql: str | None):
 
 
 def _m(spark, sf_dir) -> Model:
-    return Model(spark, sf_dir)
+    return Model.for_session(spark, sf_dir)
 
 
 def _sd(num, den, scale=2, mult=1):
