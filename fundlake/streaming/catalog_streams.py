@@ -296,3 +296,41 @@ def idempotency_window_batch(spark, sf_dir):
     prev = F.lag("ts").over(w)
     x = ev.withColumn("is_new", prev.isNull() | (F.col("ts") > prev + F.expr("INTERVAL 5 MINUTES")))
     return x.groupBy("call_hash").agg(F.count(F.lit(1)).alias("n_requests"), F.count_if("is_new").alias("n_drafts"))
+
+
+# -------------------------------------------------------------------------- L13
+CHANGE_SCHEMA = T.StructType([
+    T.StructField("account_id", T.StringType()), T.StructField("dealer_id", T.StringType()),
+    T.StructField("dealer_name", T.StringType()), T.StructField("country", T.StringType()),
+    T.StructField("region_id", T.StringType()), T.StructField("sales_rep_id", T.StringType()),
+    T.StructField("tier", T.StringType()), T.StructField("is_deleted", T.BooleanType()),
+    T.StructField("ts", T.TimestampType())])
+# replay order of the change kinds by modification year: out of event-time order on purpose
+CHANGE_REPLAY_ORDER = [1998, 1995, 2000, 1996]
+
+
+def _scd2_sql():
+    from fundlake.plans.catalog_ops import CHANGES_SQL
+    from fundlake.plans.oracle import q
+    return q("""
+SELECT account_id, dealer_id, dealer_name, tier, region_id, country, sales_rep_id, effective_from, effective_to, is_current
+FROM dealer_history""", CHANGES_SQL)
+
+
+@register("stream_scd2_dealer_history", _scd2_sql())
+def stream_scd2_dealer_history(spark, sf_dir):
+    """SCD-2 dealer history maintained by foreachBatch from an out-of-order change stream."""
+    from fundlake.plans.catalog_ops import _changes
+    from fundlake.plans.model import Model
+    ch = _changes(Model(spark, sf_dir)).withColumn("_chunk", F.year("ts"))
+    src = checkpoint_root(spark, "staged-changes")
+    streams.stage_files(ch, src, "_chunk", CHANGE_REPLAY_ORDER)
+    sdf = streams.file_stream(spark, src + "/*", CHANGE_SCHEMA)
+    log, hist = checkpoint_root(spark, "scd2-log"), checkpoint_root(spark, "scd2-history")
+    sink = streams.scd2_merge_sink(log, hist, "account_id", "ts",
+                                   ["dealer_name", "tier", "region_id", "country", "sales_rep_id"], "is_deleted",
+                                   ["dealer_id"])
+    streams.run_available_now(sdf, sink, checkpoint_root(spark, "ckpt-scd2"))
+    h = spark.read.parquet(hist)
+    return h.select("account_id", "dealer_id", "dealer_name", "tier", "region_id", "country", "sales_rep_id",
+                    "effective_from", "effective_to", "is_current")
