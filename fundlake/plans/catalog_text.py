@@ -366,3 +366,24 @@ def result_preview(spark, sf_dir):
     first3 = r.orderBy(F.desc("net_revenue_usd"), "dealer_id").limit(3)
     line = F.concat_ws(" | ", F.col("dealer_id"), F.col("net_revenue_usd").cast("string"))
     return first3.agg(F.concat_ws("; ", F.collect_list(line)).alias("preview")).select(n.alias("n_rows"), "preview")
+
+
+@register("eval_expected_facts", "WITH " + _CHAT_SQL + f""",
+qa AS (
+  SELECT u.session_id, u.turn_index, list_slice({_tok('u.text')}, 1, 2) AS facts, lower(a.text) AS answer
+  FROM chat u JOIN chat a ON a.session_id = u.session_id AND a.turn_index = u.turn_index + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')
+SELECT session_id, turn_index, len(facts) AS n_facts,
+       coalesce(list_bool_and(list_transform(facts, lambda f: contains(answer, f))), true) AS passed
+FROM qa""")
+def eval_expected_facts(spark, sf_dir):
+    """The answer (next assistant turn) must contain every expected fact; the facts of a
+    question are its first two tokens."""
+    t = chat_turns(spark, sf_dir)
+    u = t.filter(F.col("role") == "user").select("session_id", "turn_index",
+                                                  F.slice(corpus.tokens(F.col("text")), 1, 2).alias("facts"))
+    a = t.filter(F.col("role") == "assistant").select("session_id", (F.col("turn_index") - 1).alias("turn_index"),
+                                                       F.lower("text").alias("answer"))
+    j = u.join(a, ["session_id", "turn_index"])
+    return j.select("session_id", "turn_index", F.size("facts").cast("bigint").alias("n_facts"),
+                    F.forall("facts", lambda f: F.col("answer").contains(f)).alias("passed"))
