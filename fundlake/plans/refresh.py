@@ -56,7 +56,7 @@ def refresh(spark: SparkSession, sf_dir: str, out_dir: str | None = None, as_of:
 
     golds = {
         "fact_coop_utilization_daily": (gold.utilization(rd("coop_allocation"), rd("coop_claim"), as_of, horizon_days),
-                                        ["date_key"]),
+                                        ["date_key", "fiscal_year"]),
         "fact_claim_sla": (gold.claim_sla(rd("coop_claim"), rd("dealer")), ["fiscal_year"]),
         "fact_dealer_performance_monthly": (gold.dealer_performance_monthly(rd("sell_through_order"),
                                                                             rd("coop_claim"), rd("dealer")),
