@@ -592,3 +592,37 @@ def dealer_performance_full_outer(spark, sf_dir):
 
 
 _ = conform_claims  # re-exported for tests
+
+
+# ------------------------------------------------------------------ as-of rates
+CURRENCIES = ["EUR", "GBP", "JPY"]  # fixed values: quote currency by user_id % 3
+
+
+def _quoted_events(spark, sf_dir):
+    from fundlake.sources.driver import read_table
+    e = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                                                   "user_id", "event_type", "value")
+    cur = None
+    for i, c in enumerate(CURRENCIES):
+        cur = F.when(F.col("user_id") % 3 == i, F.lit(c)) if cur is None else cur.when(F.col("user_id") % 3 == i, F.lit(c))
+    return e.withColumn("currency", cur)
+
+
+@register("asof_rate_conversion", """
+WITH ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, value,
+                   CASE user_id % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' ELSE 'JPY' END AS currency FROM events),
+f AS (SELECT event_id, ts, currency FROM ev WHERE event_type <> 'purchase'),
+t AS (SELECT event_id AS rate_event_id, ts AS rate_ts, currency, CAST(value AS DECIMAL(12,2)) AS rate
+      FROM ev WHERE event_type = 'purchase')
+SELECT f.event_id, f.currency, f.ts, t.rate_event_id, t.rate_ts, t.rate
+FROM f ASOF LEFT JOIN t ON f.currency = t.currency AND f.ts >= t.rate_ts""")
+def asof_rate_conversion(spark, sf_dir):
+    """Every event priced at the latest quote of its currency at or before its time
+    (quotes = purchase events); distributed as-of join without pairs or hot-key windows."""
+    from fundlake.operators.asof import asof_latest
+    e = _quoted_events(spark, sf_dir)
+    facts = e.filter(F.col("event_type") != "purchase").select("currency", "ts", "event_id")
+    ticks = e.filter(F.col("event_type") == "purchase").select(
+        "currency", "ts", F.col("event_id").alias("rate_event_id"), F.col("value").cast("decimal(12,2)").alias("rate"))
+    r = asof_latest(facts, ticks, "currency", "ts", ["event_id"], ["rate_event_id", "rate"])
+    return r.select("event_id", "currency", "ts", "rate_event_id", F.col("tick_ts").alias("rate_ts"), "rate")

@@ -160,3 +160,25 @@ def test_state_machine_rejects_backward():
                         "event_id": [1, 2, 3, 4]})
     out = next(_advance(("c1",), iter([pdf]), st))
     assert out.iloc[0]["status"] == "Paid" and out.iloc[0]["n_rejected"] == 1 and out.iloc[0]["n_accepted"] == 3
+
+
+def test_asof_latest_hot_key_across_partitions(spark):
+    from fundlake.operators.asof import asof_latest
+    rnd = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    facts, ticks = [], []
+    for i in range(400):
+        k = "HOT" if i % 10 else rnd.choice(["A", "B"])
+        facts.append((k, base + dt.timedelta(minutes=rnd.randint(0, 5000)), i))
+    for j in range(40):
+        k = "HOT" if j % 4 else rnd.choice(["A", "B"])
+        ticks.append((k, base + dt.timedelta(minutes=rnd.randint(0, 5000)), 1000 + j, D(f"{j}.50")))
+    fdf = spark.createDataFrame(facts, "k string, ts timestamp, fid int")
+    tdf = spark.createDataFrame(ticks, "k string, ts timestamp, tid int, rate decimal(12,2)")
+    got = {r.fid: (r.tid, r.rate) for r in asof_latest(fdf, tdf, "k", "ts", ["fid"], ["tid", "rate"], 13).collect()}
+    exp = {}
+    for k, t, fid in facts:
+        c = [x for x in ticks if x[0] == k and x[1] <= t]
+        best = max(c, key=lambda x: x[1]) if c else None
+        exp[fid] = (best[2], best[3]) if best else (None, None)
+    assert got == exp
