@@ -195,12 +195,37 @@ def corpus_vector_top6(spark, sf_dir):
                     F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("corpus_hybrid_rrf", None)
+def _rrf_sql() -> str:
+    import re as _re
+    full = _bm25_sql()
+    part = full[len(_CHUNKS_SQL):]
+    names = ["ctok", "post", "stats", "dft", "qt", "scored"]
+
+    def suffixed(sql, sfx):
+        for n in names:
+            sql = _re.sub(rf"\b{n}\b", f"{n}_{sfx}", sql)
+        return sql
+    part_b = _bm25_sql("chunk_id IN (SELECT chunk_id FROM chunks WHERE audience = 'partner' "
+                       "AND region IN ('GLOBAL', 'AMER'))")[len(_CHUNKS_SQL):]
+    rank = """{r} AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id
+                 ORDER BY CAST(round(score, 6) AS DECIMAL(18,6)) DESC, doc_id, pos) AS rank FROM {s})"""
+    return ("WITH " + _CHUNKS_SQL + suffixed(part, "a") + suffixed(part_b, "b") + ",\n"
+            + rank.format(r="ra", s="scored_a") + ",\n" + rank.format(r="rb", s="scored_b") + """,
+u AS (SELECT query_id, chunk_id, 1.0 / (60 + rank) AS rrf FROM ra WHERE rank <= 6
+      UNION ALL SELECT query_id, chunk_id, 1.0 / (60 + rank) FROM rb WHERE rank <= 6),
+f AS (SELECT query_id, chunk_id, CAST(round(sum(rrf), 8) AS DECIMAL(18,8)) AS rrf_score FROM u GROUP BY 1, 2)
+SELECT query_id, chunk_id, rrf_score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM f) x
+WHERE rank <= 6""")
+
+
+@register("corpus_hybrid_rrf", _rrf_sql())
 def corpus_hybrid_rrf(spark, sf_dir):
     """Reciprocal-rank fusion of the unfiltered and the audience-filtered BM25 rankings."""
     a = _bm25(spark, sf_dir)
     b = _bm25(spark, sf_dir, (F.col("audience") == "partner") & F.col("region").isin("GLOBAL", "AMER"))
-    return corpus.reciprocal_rank_fusion([a, b], ["query_id"], "chunk_id")
+    r = corpus.reciprocal_rank_fusion([a, b], ["query_id"], "chunk_id")
+    return r.select("query_id", "chunk_id", "rrf_score", F.col("rank").cast("bigint").alias("rank"))
 
 
 # -------------------------------------------------------------- chat + eval tables
@@ -357,15 +382,28 @@ def eval_trace_sample(spark, sf_dir):
     return t.join(a, "session_id", "left").select("session_id", "turn_index", "role", "category")
 
 
-@register("result_preview", None)
+def _preview_sql() -> str:
+    from fundlake.plans.oracle import q as _q
+    return _q("""
+SELECT (SELECT count(*) FROM top) AS n_rows,
+       string_agg(dealer_id || ' | ' || CAST(net_revenue_usd AS VARCHAR), '; ' ORDER BY net_revenue_usd DESC, dealer_id) AS preview
+FROM (SELECT * FROM top ORDER BY net_revenue_usd DESC, dealer_id LIMIT 3) x""", """top AS (
+  SELECT p.dealer_id, d.dealer_name, CAST(sum(p.net_revenue_usd) AS DECIMAL(18,2)) AS net_revenue_usd
+  FROM perf p LEFT JOIN s_dealer d ON p.dealer_id = d.dealer_id
+  GROUP BY 1, 2 ORDER BY net_revenue_usd DESC, dealer_id LIMIT 10)""")
+
+
+@register("result_preview", _preview_sql())
 def result_preview(spark, sf_dir):
     """Row count and the first 3 rows (total order) of a result as one text line."""
     from fundlake.plans.catalog import q_top10_dealers_revenue
     r = q_top10_dealers_revenue(spark, sf_dir)
     n = r.agg(F.count(F.lit(1))).scalar()
     first3 = r.orderBy(F.desc("net_revenue_usd"), "dealer_id").limit(3)
-    line = F.concat_ws(" | ", F.col("dealer_id"), F.col("net_revenue_usd").cast("string"))
-    return first3.agg(F.concat_ws("; ", F.collect_list(line)).alias("preview")).select(n.alias("n_rows"), "preview")
+    item = F.struct((-F.col("net_revenue_usd")).alias("o"), F.col("dealer_id"),
+                    F.concat_ws(" | ", F.col("dealer_id"), F.col("net_revenue_usd").cast("string")).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"])
+    return first3.agg(F.array_join(lines, "; ").alias("preview")).select(n.alias("n_rows"), "preview")
 
 
 @register("eval_expected_facts", "WITH " + _CHAT_SQL + f""",
