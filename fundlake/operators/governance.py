@@ -2,8 +2,8 @@
 
 Scopes are rows, not driver-side branches: every user maps to one scope
 (``global``, a region or a dealer); facts are pre-aggregated to the scope grain
-and joined on it.  Global scopes join on a constant key against a one-row total,
-so no cross product is planned.
+and joined on it.  Global scopes read the one-row total as a scalar subquery, so no
+cross product is planned.
 """
 
 from __future__ import annotations
@@ -53,9 +53,8 @@ def scoped_totals(users: DataFrame, facts: DataFrame, measures: list[str]) -> Da
     u = users.withColumn("scope", scope_kind())
     by_region = facts.groupBy("region_id").agg(*[F.sum(m).alias(m) for m in measures])
     by_dealer = facts.groupBy("dealer_id").agg(*[F.sum(m).alias(m) for m in measures])
-    total = facts.agg(*[F.sum(m).alias(m) for m in measures]).withColumn("__k", F.lit(1))
-    g = (u.filter(F.col("scope") == "global").withColumn("__k", F.lit(1))
-         .join(F.broadcast(total), "__k").drop("__k"))
+    total = facts.agg(F.struct(*[F.sum(m).alias(m) for m in measures])).scalar()  # one row, as a subquery
+    g = u.filter(F.col("scope") == "global").select("*", *[total.getField(m).alias(m) for m in measures])
     r = u.filter(F.col("scope") == "region").join(by_region, "region_id", "left")
     d = u.filter(F.col("scope") == "dealer").join(by_dealer, "dealer_id", "left")
     cols = ["user_id", "role", "scope"] + measures

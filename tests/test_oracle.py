@@ -9,6 +9,12 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import rows_of  # noqa: E402
+from plan_report import BAD, plan_text  # noqa: E402
+
+
+def _assert_scalable_plan(df):
+    text = plan_text(df)
+    assert not [b for b in BAD if b in text], "plan has a cartesian/nested-loop join or a row-at-a-time UDF"
 from conftest import SF_SMALL  # noqa: E402
 
 QUERIES = E.queries()
@@ -31,6 +37,7 @@ def test_entry_smoke(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
+    _assert_scalable_plan(df)
     cols = df.columns
     srows = df.collect()
     res = duck.execute(SQL[name])
@@ -43,4 +50,5 @@ def test_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_oracle(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
+    _assert_scalable_plan(df)
     assert df.count() >= 0
