@@ -42,8 +42,10 @@ def asof_latest(facts: DataFrame, ticks: DataFrame, key: str, ts: str, fact_cols
                      *[F.lit(None).cast(tschema[c]).alias(f"_t_{c}") for c in tick_cols])
     t = ticks.select(key, ts, *[F.lit(None).cast(fschema[c]).alias(c) for c in fact_cols], F.lit(1).alias("_is_tick"),
                      *[F.col(c).alias(f"_t_{c}") for c in tick_cols])
+    # the range partition index is stamped as a column right after the exchange: inside a
+    # larger plan (a union) the task's partition index is not the range partition's
     u = (f.unionByName(t).repartitionByRange(n, key, ts)
-         .sortWithinPartitions(key, ts, F.desc("_is_tick")))
+         .sortWithinPartitions(key, ts, F.desc("_is_tick")).withColumn("_pid", F.spark_partition_id()))
     u = u.persist(StorageLevel.MEMORY_AND_DISK)
     tcols = [f"_t_{c}" for c in tick_cols]
     key_type = fschema[key]
@@ -54,13 +56,13 @@ def asof_latest(facts: DataFrame, ticks: DataFrame, key: str, ts: str, fact_cols
                                   + [T.StructField(c, tschema[c[3:]]) for c in tcols])
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
+        pid = None
         first = last = None
         tick = None
         for b in batches:
             if not len(b):
                 continue
+            pid = int(b["_pid"].iloc[0])
             if first is None:
                 first = b[key].iloc[0]
             last_key = b[key].iloc[-1]
@@ -98,13 +100,12 @@ def asof_latest(facts: DataFrame, ticks: DataFrame, key: str, ts: str, fact_cols
                               + [T.StructField(c, tschema[c]) for c in tick_cols])
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
         cur_key, cur = None, None
         first_seen = False
         for b in batches:
             if not len(b):
                 continue
+            pid = int(b["_pid"].iloc[0])
             out_rows = {c: [] for c in out_schema.fieldNames()}
             keys = b[key].tolist()
             is_tick = b["_is_tick"].tolist()
@@ -131,3 +132,113 @@ def asof_latest(facts: DataFrame, ticks: DataFrame, key: str, ts: str, fact_cols
                 yield pd.DataFrame(out_rows)
 
     return u.mapInPandas(fill, out_schema)
+
+
+def asof_k(facts: DataFrame, ticks: DataFrame, keys: list[str], order: str, fact_cols: list[str],
+           tick_cols: list[str], k: int, forward: bool = False, n_partitions: int | None = None) -> DataFrame:
+    """For each fact, up to ``k`` ticks of the same keys nearest to it in ``order``: the last
+    ``k`` with tick order <= fact order (``forward=False``) or the first ``k`` with tick order
+    > fact order (``forward=True``).  One output row per (fact, tick) with ``tick_rank``
+    (1 = nearest).  Same plan as ``asof_latest``: range partitions on (keys, order), a
+    one-row-per-partition summary (the last ``k`` ticks of the partition's last key)
+    resolved into carry-ins on the driver, then a per-partition fill."""
+    import base64
+    import pickle
+    from collections import deque
+
+    spark = facts.sparkSession
+    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fschema = {f.name: f.dataType for f in facts.schema.fields}
+    tschema = {f.name: f.dataType for f in ticks.schema.fields}
+    f = facts.select(*keys, order, *fact_cols, F.lit(0).alias("_is_tick"),
+                     *[F.lit(None).cast(tschema[c]).alias(f"_t_{c}") for c in tick_cols])
+    t = ticks.select(*keys, order, *[F.lit(None).cast(fschema[c]).alias(c) for c in fact_cols],
+                     F.lit(1).alias("_is_tick"), *[F.col(c).alias(f"_t_{c}") for c in tick_cols])
+    o = F.desc(order) if forward else F.asc(order)
+    # backward: ticks before facts at equal order (inclusive); forward: facts first (exclusive)
+    tie = F.asc("_is_tick") if forward else F.desc("_is_tick")
+    u = (f.unionByName(t).repartitionByRange(n, *[F.asc(c) for c in keys], o)
+         .sortWithinPartitions(*keys, o, tie).withColumn("_pid", F.spark_partition_id())
+         ).persist(StorageLevel.MEMORY_AND_DISK)
+    tcols = [f"_t_{c}" for c in tick_cols]
+
+    def summarize(batches):
+        pid = None
+        first = last = None
+        buf: deque = deque(maxlen=k)
+        for b in batches:
+            if not len(b):
+                continue
+            pid = int(b["_pid"].iloc[0])
+            kk = list(zip(*[b[c].tolist() for c in keys]))
+            isk = b["_is_tick"].tolist()
+            vals = list(zip(b[order].tolist(), *[b[c].tolist() for c in tcols]))
+            for i, key in enumerate(kk):
+                if first is None:
+                    first = key
+                if key != last:
+                    buf = deque(maxlen=k)
+                    last = key
+                if isk[i] == 1:
+                    buf.append(vals[i])
+        if first is None:
+            return
+        blob = base64.b64encode(pickle.dumps((first, last, list(buf)))).decode()
+        yield pd.DataFrame({"pid": [pid], "blob": [blob]})
+
+    summ = u.mapInPandas(summarize, "pid int, blob string").collect()  # one row per partition
+    parts = sorted((r.pid, *pickle.loads(base64.b64decode(r.blob))) for r in summ)
+    carry: dict[int, list] = {}
+    for i, (pid, first, last, buf) in enumerate(parts):
+        acc: list = []
+        for q in reversed(parts[:i]):
+            _, q_first, q_last, q_buf = q
+            if q_last != first:
+                break
+            acc = list(q_buf) + acc
+            if len(acc) >= k or q_first != q_last:
+                break
+        carry[pid] = acc[-k:]
+
+    out_schema = T.StructType([T.StructField(c, fschema[c]) for c in keys] + [T.StructField(order, fschema[order])]
+                              + [T.StructField(c, fschema[c]) for c in fact_cols]
+                              + [T.StructField(f"tick_{order}", tschema[order])]
+                              + [T.StructField(c, tschema[c]) for c in tick_cols]
+                              + [T.StructField("tick_rank", T.IntegerType())])
+
+    def fill(batches):
+        cur_key = None
+        buf: deque = deque(maxlen=k)
+        first_seen = False
+        for b in batches:
+            if not len(b):
+                continue
+            pid = int(b["_pid"].iloc[0])
+            out = {c: [] for c in out_schema.fieldNames()}
+            kk = list(zip(*[b[c].tolist() for c in keys]))
+            isk = b["_is_tick"].tolist()
+            ords = b[order].tolist()
+            tv = [b[c].tolist() for c in tcols]
+            fv = [b[c].tolist() for c in fact_cols]
+            for i, key in enumerate(kk):
+                if key != cur_key:
+                    cur_key = key
+                    buf = deque(carry.get(pid, []) if not first_seen else [], maxlen=k)
+                    first_seen = True
+                if isk[i] == 1:
+                    buf.append((ords[i], *[x[i] for x in tv]))
+                    continue
+                for rank, tick in enumerate(reversed(buf), start=1):
+                    for j, c in enumerate(keys):
+                        out[c].append(key[j])
+                    out[order].append(ords[i])
+                    for c, x in zip(fact_cols, fv):
+                        out[c].append(x[i])
+                    out[f"tick_{order}"].append(tick[0])
+                    for j, c in enumerate(tick_cols):
+                        out[c].append(tick[j + 1])
+                    out["tick_rank"].append(rank)
+            if out["tick_rank"]:
+                yield pd.DataFrame(out)
+
+    return u.mapInPandas(fill, out_schema)

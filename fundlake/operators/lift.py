@@ -17,7 +17,7 @@ Plan shape (no pairwise expansion)
   ``k`` smallest dealer ids can ever be chosen (WindowGroupLimit keeps them), so
   the candidates of a treated row are the controls of the ``k`` nearest distinct
   base values at or below and the ``k`` nearest above -- at most 2k^2 rows, found
-  by an equi-join on (cell, month, value rank).
+  by two as-of passes over range partitions (no per-cell window).
 """
 
 from __future__ import annotations
@@ -65,32 +65,28 @@ def dealer_months(perf: DataFrame, dealers: DataFrame, claims: DataFrame,
 
 
 def matched_pairs(dm: DataFrame, k: int = K_CONTROLS) -> DataFrame:
-    """E15 core: (treated dealer-month, control dealer) pairs, at most ``k`` per treated row."""
+    """E15 core: (treated dealer-month, control dealer) pairs, at most ``k`` per treated row.
+
+    Candidates without pairs and without per-cell windows: only the ``k`` smallest
+    dealer ids per (cell, base value) can be chosen (WindowGroupLimit keeps them);
+    the ``k`` nearest distinct control values at or below and above each treated base
+    come from two as-of passes (``asof_k``) over range partitions, so a cell holding a
+    third of all rows is split across tasks; the candidates (<= 2k values x k
+    controls) are ranked by (distance, dealer id).
+    """
+    from fundlake.operators.asof import asof_k
     cell = ["region", "tier", "month"]
-    t = dm.filter("treated").select(*cell, F.col("dealer_id").alias("t_dealer"),
-                                    F.col("base_revenue").alias("t_base"))
+    t = dm.filter("treated").select(*cell, F.col("dealer_id").alias("t_dealer"), F.col("base_revenue").alias("x"))
     c = dm.filter(~F.col("treated")).select(*cell, F.col("dealer_id").alias("c_dealer"),
-                                            F.col("base_revenue").alias("c_base"),
+                                            F.col("base_revenue").alias("v"),
                                             F.col("net_revenue_usd").alias("c_revenue"))
-    # only the k smallest ids per equal base value can be chosen (WindowGroupLimit)
-    wb = Window.partitionBy(*cell, "c_base").orderBy("c_dealer")
+    wb = Window.partitionBy(*cell, "v").orderBy("c_dealer")
     c = c.withColumn("rk", F.row_number().over(wb)).filter(F.col("rk") <= k).drop("rk")
-    # distinct control base values, ranked within the cell-month
-    vals = c.select(*cell, F.col("c_base").alias("v")).distinct()
-    wv = Window.partitionBy(*cell).orderBy("v")
-    vals = vals.withColumn("vrank", F.row_number().over(wv))
-    # position of each treated base among the values: #values <= t_base
-    marks = (vals.select(*cell, F.col("v").alias("x"), F.lit(1).alias("is_val"), F.lit(None).cast("string")
-                         .alias("t_dealer"))
-             .unionByName(t.select(*cell, F.col("t_base").alias("x"), F.lit(0).alias("is_val"), "t_dealer")))
-    wm = (Window.partitionBy(*cell).orderBy("x", F.desc("is_val"), "t_dealer")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pos = (marks.withColumn("pos", F.sum("is_val").over(wm)).filter(F.col("is_val") == 0)
-           .select(*cell, "t_dealer", "pos"))
-    t = t.join(pos, cell + ["t_dealer"])
-    cand = t.withColumn("vrank", F.explode(F.sequence(F.col("pos") - (k - 1), F.col("pos") + k)))
-    cand = cand.join(vals, cell + ["vrank"]).join(c.withColumnRenamed("c_base", "v"), cell + ["v"])
-    cand = cand.withColumn("dist", F.abs(F.col("v") - F.col("t_base")))
+    vals = c.select(*cell, F.col("v").alias("x")).distinct().withColumn("v", F.col("x"))
+    below = asof_k(t, vals, cell, "x", ["t_dealer"], ["v"], k, forward=False)
+    above = asof_k(t, vals, cell, "x", ["t_dealer"], ["v"], k, forward=True)
+    near = below.unionByName(above).select(*cell, "t_dealer", F.col("x").alias("t_base"), "v")
+    cand = near.join(c, cell + ["v"]).withColumn("dist", F.abs(F.col("v") - F.col("t_base")))
     wr = Window.partitionBy(*cell, "t_dealer").orderBy("dist", "c_dealer")
     return (cand.withColumn("match_rank", F.row_number().over(wr)).filter(F.col("match_rank") <= k)
             .select(*cell, "t_dealer", "c_dealer", "c_revenue", "dist", "match_rank"))
