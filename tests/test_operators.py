@@ -131,8 +131,13 @@ def test_matched_pairs_equal_brute_force(spark):
                          "treated": rnd.random() < 0.3})
     df = spark.createDataFrame(rows, "dealer_id string, month date, region string, tier string, "
                                      "net_revenue_usd decimal(14,2), base_revenue decimal(18,2), treated boolean")
-    got = {(r.month, r.t_dealer, r.c_dealer) for r in lift.matched_pairs(df, 5).collect()}
-    assert got == _brute_pairs(rows, 5)
+    for batch_rows in ("10000", "7"):  # tiny Arrow batches: state crosses batch boundaries
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+        try:
+            got = {(r.month, r.t_dealer, r.c_dealer) for r in lift.matched_pairs(df, 5).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == _brute_pairs(rows, 5)
 
 
 def test_metrics_registry_errors_and_synonyms():
