@@ -180,7 +180,11 @@ def test_asof_latest_hot_key_across_partitions(spark):
         ticks.append((k, base + dt.timedelta(minutes=rnd.randint(0, 5000)), 1000 + j, D(f"{j}.50")))
     fdf = spark.createDataFrame(facts, "k string, ts timestamp, fid int")
     tdf = spark.createDataFrame(ticks, "k string, ts timestamp, tid int, rate decimal(12,2)")
-    got = {r.fid: (r.tid, r.rate) for r in asof_latest(fdf, tdf, "k", "ts", ["fid"], ["tid", "rate"], 13).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # state across batch boundaries
+    try:
+        got = {r.fid: (r.tid, r.rate) for r in asof_latest(fdf, tdf, "k", "ts", ["fid"], ["tid", "rate"], 13).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     exp = {}
     for k, t, fid in facts:
         c = [x for x in ticks if x[0] == k and x[1] <= t]
