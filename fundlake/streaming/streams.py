@@ -65,10 +65,16 @@ def run_available_now(sdf: DataFrame, sink: Callable | str, checkpoint: str, out
         raise q.exception()
 
 
+def batch_path(path: str, batch_id: int) -> str:
+    """Folder of one micro-batch; readers see ``_batch_id`` as a partition column."""
+    return f"{path}/_batch_id={batch_id}"
+
+
 def append_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: append the batch rows tagged with the batch id."""
+    """foreachBatch sink: each batch overwrites its own folder, so a batch replayed after a
+    failure replaces its earlier output instead of duplicating it (exactly-once)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
     return sink
 
 
@@ -93,16 +99,16 @@ def bronze_to_silver(spark: SparkSession, bronze_glob: str, schema: T.StructType
     """L2 / L3: stateless conform + drop rules, failing rows to a quarantine table.
 
     One pass tags the failed rule names; ``foreachBatch`` writes the two sides.
-    A replayed batch id overwrites its own partition, so the sink is idempotent.
+    A replayed batch id overwrites its own folder, so the sink is idempotent.
     """
     sdf = quality.tag_failures(transform(file_stream(spark, bronze_glob, schema)), rules)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("_batch_id", F.lit(batch_id).cast("bigint"))
-        (b.filter(F.size("failed_rules") == 0).drop("failed_rules")
-         .write.mode("append").parquet(silver_path))
-        (b.filter(F.size("failed_rules") > 0).withColumn("reason", F.array_join("failed_rules", ","))
-         .drop("failed_rules").write.mode("append").parquet(quarantine_path))
+        # one pass tags rows; both sides overwrite this batch's folders (idempotent replay)
+        (batch.filter(F.size("failed_rules") == 0).drop("failed_rules")
+         .write.mode("overwrite").parquet(batch_path(silver_path, batch_id)))
+        (batch.filter(F.size("failed_rules") > 0).withColumn("reason", F.array_join("failed_rules", ","))
+         .drop("failed_rules").write.mode("overwrite").parquet(batch_path(quarantine_path, batch_id)))
     run_available_now(sdf, sink, checkpoint_root(spark, f"ckpt-{name}"))
 
 
@@ -190,21 +196,20 @@ def late_rows_sink(path_on_time: str, path_late: str, ts: str, tolerance: str =
         spark = batch.sparkSession
         prev_max = None
         if state_path:
-            try:
-                prev_max = spark.read.parquet(state_path).agg(F.max("max_ts")).scalar()
+            try:  # running max of earlier batches only (a replay ignores its own state row)
+                st = spark.read.parquet(state_path).filter(F.col("_batch_id") < batch_id)
+                prev_max = st.agg(F.max("max_ts")).scalar()
             except Exception:  # noqa: BLE001 - first batch: no state yet
                 prev_max = None
-        b = batch.withColumn("_batch_id", F.lit(batch_id).cast("bigint"))
         if prev_max is not None:
             cut = prev_max - F.expr(f"INTERVAL {tolerance}")
-            late = F.col(ts) < cut
-            b.filter(late).write.mode("append").parquet(path_late)
-            b.filter(~late).write.mode("append").parquet(path_on_time)
+            late = F.coalesce(F.col(ts) < cut, F.lit(False))
+            batch.filter(late).write.mode("overwrite").parquet(batch_path(path_late, batch_id))
+            batch.filter(~late).write.mode("overwrite").parquet(batch_path(path_on_time, batch_id))
         else:
-            b.write.mode("append").parquet(path_on_time)
+            batch.write.mode("overwrite").parquet(batch_path(path_on_time, batch_id))
         if state_path:
-            batch.agg(F.max(ts).alias("max_ts")).withColumn("_batch_id", F.lit(batch_id)).write.mode(
-                "append").parquet(state_path)
+            batch.agg(F.max(ts).alias("max_ts")).write.mode("overwrite").parquet(batch_path(state_path, batch_id))
     return sink
 
 
