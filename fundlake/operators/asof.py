@@ -242,3 +242,75 @@ def asof_k(facts: DataFrame, ticks: DataFrame, keys: list[str], order: str, fact
                 yield pd.DataFrame(out)
 
     return u.mapInPandas(fill, out_schema)
+
+
+def positions(df: DataFrame, keys: list[str], order: list, col: str = "pos",
+              n_partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` without putting a key's rows
+    in one task: range partitions on (keys, order), a one-row-per-partition summary of the
+    boundary key's row count gives each partition its starting offset, and ``mapInPandas``
+    numbers the rows.  ``order`` must be a total order within a key."""
+    spark = df.sparkSession
+    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    u = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+         .withColumn("_pid", F.spark_partition_id())).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def summarize(batches):
+        import base64
+        import pickle
+        pid = first = last = None
+        n_last = 0
+        single = True
+        for b in batches:
+            if not len(b):
+                continue
+            pid = int(b["_pid"].iloc[0])
+            for key in zip(*[b[c].tolist() for c in keys]):
+                if first is None:
+                    first = key
+                if key != last:
+                    if last is not None:
+                        single = False
+                    last, n_last = key, 0
+                n_last += 1
+        if pid is not None:
+            yield pd.DataFrame({"pid": [pid], "blob": [base64.b64encode(pickle.dumps((first, last, n_last, single)))
+                                                      .decode()]})
+
+    import base64
+    import pickle
+    parts = sorted((r.pid, *pickle.loads(base64.b64decode(r.blob)))
+                   for r in u.mapInPandas(summarize, "pid int, blob string").collect())  # one row per partition
+    offset: dict[int, int] = {}
+    for i, (pid, first, _last, _n, _single) in enumerate(parts):
+        acc = 0
+        for q_pid, q_first, q_last, q_n, q_single in reversed(parts[:i]):
+            if q_last != first:
+                break
+            acc += q_n
+            if not q_single:
+                break
+        offset[pid] = acc
+
+    out_schema = T.StructType(df.schema.fields + [T.StructField(col, T.LongType())])
+
+    def number(batches):
+        cur, k = None, 0
+        started = False
+        for b in batches:
+            if not len(b):
+                continue
+            pid = int(b["_pid"].iloc[0])
+            pos = []
+            for key in zip(*[b[c].tolist() for c in keys]):
+                if key != cur:
+                    k = offset.get(pid, 0) if not started else 0
+                    cur = key
+                    started = True
+                k += 1
+                pos.append(k)
+            out = b.drop(columns=["_pid"])
+            out[col] = pos
+            yield out
+
+    return u.mapInPandas(number, out_schema)

@@ -8,7 +8,7 @@ join on the date), never a per-row loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Per activity number 0..21 -- co-fund share (%) and the tiers allowed
@@ -119,12 +119,14 @@ def fy_end(fy_start_year: Column) -> Column:
 def reallocation_pairs(util: DataFrame, group: list[str], donor: Column, receiver: Column,
                        surplus: Column, deficit: Column) -> DataFrame:
     """Rank donors by surplus and receivers by deficit within the group; pair equal ranks
-    (an equi-join on group + rank, so at most one pairing per rank)."""
-    wd = Window.partitionBy(*group).orderBy(F.desc("amount"), "dealer_id")
-    d = (util.filter(donor).select(*group, "dealer_id", surplus.alias("amount"))
-         .withColumn("pair_rank", F.row_number().over(wd)))
-    r = (util.filter(receiver).select(*group, "dealer_id", deficit.alias("amount"))
-         .withColumn("pair_rank", F.row_number().over(wd)))
+    (an equi-join on group + rank, so at most one pairing per rank).  Ranks come from
+    ``positions`` (range partitions), so a region x tier cell holding a third of the
+    dealers is numbered by many tasks, not one window."""
+    from fundlake.operators.asof import positions
+    order = [F.desc("amount"), F.asc("dealer_id")]
+    d = positions(util.filter(donor).select(*group, "dealer_id", surplus.alias("amount")), group, order, "pair_rank")
+    r = positions(util.filter(receiver).select(*group, "dealer_id", deficit.alias("amount")), group, order,
+                  "pair_rank")
     j = d.alias("d").join(r.alias("r"), group + ["pair_rank"])
     return j.select(*group, "pair_rank", F.col("d.dealer_id").alias("donor_dealer_id"),
                     F.col("r.dealer_id").alias("receiver_dealer_id"),

@@ -191,3 +191,20 @@ def test_asof_latest_hot_key_across_partitions(spark):
         best = max(c, key=lambda x: x[1]) if c else None
         exp[fid] = (best[2], best[3]) if best else (None, None)
     assert got == exp
+
+
+def test_positions_equal_row_number(spark):
+    from pyspark.sql import Window
+    from fundlake.operators.asof import positions
+    rnd = random.Random(11)
+    rows = [("HOT" if i % 5 else rnd.choice(["a", "b", "c"]), rnd.randint(0, 50), f"id{i:04d}") for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, amount int, dealer_id string")
+    order = [F.desc("amount"), F.asc("dealer_id")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = {(r.g, r.dealer_id): r.pos for r in positions(df, ["g"], order, "pos", 17).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    w = Window.partitionBy("g").orderBy(*order)
+    exp = {(r.g, r.dealer_id): r.pos for r in df.withColumn("pos", F.row_number().over(w)).collect()}
+    assert got == exp
