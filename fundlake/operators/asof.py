@@ -314,3 +314,73 @@ def positions(df: DataFrame, keys: list[str], order: list, col: str = "pos",
             yield out
 
     return u.mapInPandas(number, out_schema)
+
+
+def neighbors(df: DataFrame, keys: list[str], order: list, lag_cols: list[str] = (), lead_cols: list[str] = (),
+              prev_prefix: str = "prev_", next_prefix: str = "next_", n_partitions: int | None = None) -> DataFrame:
+    """``lag(c)`` / ``lead(c)`` over (partition by keys order by order) without a per-key
+    window: range partitions on (keys, order); a one-row-per-partition summary (first and
+    last row) supplies the neighbour across each partition boundary; each partition is
+    then shifted in pandas.  ``order`` must be a total order within a key."""
+    import base64
+    import pickle
+    spark = df.sparkSession
+    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    u = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+         .withColumn("_pid", F.spark_partition_id())).persist(StorageLevel.MEMORY_AND_DISK)
+    lag_cols, lead_cols = list(lag_cols), list(lead_cols)
+
+    def summarize(batches):
+        pid = first = last = None
+        for b in batches:
+            if not len(b):
+                continue
+            pid = int(b["_pid"].iloc[0])
+            if first is None:
+                r0 = b.iloc[0]
+                first = (tuple(r0[c] for c in keys), tuple(r0[c] for c in lead_cols))
+            r1 = b.iloc[-1]
+            last = (tuple(r1[c] for c in keys), tuple(r1[c] for c in lag_cols))
+        if pid is not None:
+            yield pd.DataFrame({"pid": [pid], "blob": [base64.b64encode(pickle.dumps((first, last))).decode()]})
+
+    parts = sorted((r.pid, *pickle.loads(base64.b64decode(r.blob)))
+                   for r in u.mapInPandas(summarize, "pid int, blob string").collect())  # one row per partition
+    carry_prev: dict[int, tuple] = {}
+    carry_next: dict[int, tuple] = {}
+    for i, (pid, first, last) in enumerate(parts):
+        if i > 0 and parts[i - 1][2][0] == first[0]:
+            carry_prev[pid] = parts[i - 1][2][1]
+        if i + 1 < len(parts) and parts[i + 1][1][0] == last[0]:
+            carry_next[pid] = parts[i + 1][1][1]
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    out_schema = T.StructType(df.schema.fields
+                              + [T.StructField(prev_prefix + c, types[c]) for c in lag_cols]
+                              + [T.StructField(next_prefix + c, types[c]) for c in lead_cols])
+
+    def shift(batches):
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        p = pd.concat(frames, ignore_index=True)   # one range partition (sized by n)
+        pid = int(p["_pid"].iloc[0])
+        same_prev = pd.Series(True, index=p.index)
+        same_next = pd.Series(True, index=p.index)
+        for c in keys:
+            same_prev &= p[c].shift(1) == p[c]
+            same_next &= p[c].shift(-1) == p[c]
+        out = p.drop(columns=["_pid"])
+        for j, c in enumerate(lag_cols):
+            s = p[c].astype(object).shift(1).where(same_prev, None)
+            if pid in carry_prev:
+                s.iloc[0] = carry_prev[pid][j]
+            out[prev_prefix + c] = s
+        for j, c in enumerate(lead_cols):
+            s = p[c].astype(object).shift(-1).where(same_next, None)
+            if pid in carry_next:
+                s.iloc[-1] = carry_next[pid][j]
+            out[next_prefix + c] = s
+        yield out
+
+    return u.mapInPandas(shift, out_schema)

@@ -4,8 +4,8 @@ Scale notes
 * ``latest_per_key`` is an aggregate (``max_by`` over a struct) rather than a
   ``row_number`` window, so a key holding a third of all change rows is combined
   map-side before the shuffle instead of landing whole in one task.
-* ``scd2`` windows are per account; after the no-op drop an account has one row
-  per real change, so each window group is small.
+* ``scd2`` takes ``lag``/``lead`` from ``asof.neighbors`` (range partitions), so even
+  an account holding a third of all change rows is processed by many tasks.
 * ``asof_join`` carries an equi key (the entity id) plus the validity interval, so
   it plans as a shuffle (or broadcast) hash/sort-merge join with a residual range
   filter, never as a nested-loop join.
@@ -13,7 +13,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN_END = "9999-12-31"
@@ -41,16 +41,19 @@ def scd2(changes: DataFrame, key: str, ts_col: str, tracked: list[str], deleted_
     date; the next row of the key (a change or a delete) closes it.  Delete rows
     close the interval and open nothing.
     """
+    from fundlake.operators.asof import neighbors
     carry = carry or []
-    w = Window.partitionBy(key).orderBy(ts_col)
     is_del = F.coalesce(F.col(deleted_col), F.lit(False)) if deleted_col else F.lit(False)
     hd = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in tracked]), 256)
     x = changes.select(key, ts_col, *tracked, *carry, is_del.alias("__del"), hd.alias("__hd"))
-    x = x.withColumn("__prev_hd", F.lag("__hd").over(w)).withColumn("__prev_del", F.lag("__del").over(w))
-    changed = (F.col("__prev_hd").isNull() | (F.col("__hd") != F.col("__prev_hd")) | F.col("__del")
-               | F.coalesce(F.col("__prev_del"), F.lit(False)))
-    x = x.filter(changed)
-    x = x.withColumn("__next_ts", F.lead(ts_col).over(w))
+    # lag / lead per key via range partitions (no per-key window): a key with a third of
+    # all change rows is still spread over several tasks
+    x = neighbors(x, [key], [F.asc(ts_col)], ["__hd", "__del"], [], prev_prefix="__prev")
+    changed = (F.col("__prev__hd").isNull() | (F.col("__hd") != F.col("__prev__hd")) | F.col("__del")
+               | F.coalesce(F.col("__prev__del"), F.lit(False)))
+    x = x.filter(changed).drop("__prev__hd", "__prev__del")
+    x = neighbors(x, [key], [F.asc(ts_col)], [], [ts_col], next_prefix="__next_").withColumnRenamed(
+        f"__next_{ts_col}", "__next_ts")
     versions = x.filter(~F.col("__del"))
     return versions.select(
         key, *tracked, *carry,

@@ -64,16 +64,20 @@ def duplicates_across(df: DataFrame, key: list[str], distinct_col: str, order: l
 
 
 def status_moves(transitions: DataFrame, key: str, ts: str, status: str, tie: str) -> DataFrame:
-    """Previous status, rank comparison and dwell time per transition row."""
+    """Previous status, rank comparison and dwell time per transition row.
+
+    ``lag``/``lead`` come from ``neighbors`` (range partitions on (key, ts)), so a claim
+    with a third of all transitions is still split across tasks."""
+    from fundlake.operators.asof import neighbors
     rank = None
     for s, r in STATUS_RANK.items():
         rank = F.when(F.col(status) == s, F.lit(r)) if rank is None else rank.when(F.col(status) == s, F.lit(r))
-    w = Window.partitionBy(key).orderBy(ts, tie)
     x = transitions.withColumn("status_rank", rank)
-    return (x.withColumn("prev_status", F.lag(status).over(w))
-            .withColumn("prev_rank", F.lag("status_rank").over(w))
+    y = neighbors(x, [key], [F.asc(ts), F.asc(tie)], [status, "status_rank"], [ts],
+                  prev_prefix="__p_", next_prefix="__n_")
+    return (y.withColumnRenamed(f"__p_{status}", "prev_status").withColumnRenamed("__p_status_rank", "prev_rank")
+            .withColumnRenamed(f"__n_{ts}", "next_ts")
             .withColumn("is_backward", F.col("prev_rank") > F.col("status_rank"))
-            .withColumn("next_ts", F.lead(ts).over(w))
             .withColumn("dwell_seconds", F.unix_seconds(F.col("next_ts")) - F.unix_seconds(F.col(ts))))
 
 

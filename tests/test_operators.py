@@ -208,3 +208,19 @@ def test_positions_equal_row_number(spark):
     w = Window.partitionBy("g").orderBy(*order)
     exp = {(r.g, r.dealer_id): r.pos for r in df.withColumn("pos", F.row_number().over(w)).collect()}
     assert got == exp
+
+
+def test_neighbors_equal_lag_lead(spark):
+    from pyspark.sql import Window
+    from fundlake.operators.asof import neighbors
+    rnd = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = [("HOT" if i % 4 else rnd.choice(["a", "b"]), base + dt.timedelta(seconds=rnd.randint(0, 10 ** 6)), i,
+             rnd.choice(["Submitted", "Paid", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id int, st string")
+    got = {r.id: (r.prev_st, r.prev_id, r.next_ts) for r in
+           neighbors(df, ["k"], [F.asc("ts"), F.asc("id")], ["st", "id"], ["ts"], n_partitions=19).collect()}
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    exp = {r.id: (r.p, r.pi, r.n) for r in df.select("id", F.lag("st").over(w).alias("p"), F.lag("id").over(w).alias("pi"),
+                                                     F.lead("ts").over(w).alias("n")).collect()}
+    assert got == exp
