@@ -29,6 +29,17 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
 
 
+def local_path(path: str) -> str:
+    """Filesystem path of a ``file:`` URI (or a plain path).  The stdlib reader/writer needs
+    a mounted filesystem; other schemes are rejected explicitly."""
+    if path.startswith("file:"):
+        rest = path[len("file:"):]
+        return "/" + rest.lstrip("/")
+    if "://" in path:
+        raise ValueError(f"xlsx source needs a mounted filesystem path, got {path!r}")
+    return path
+
+
 def _col_index(ref: str) -> int:
     n = 0
     for ch in re.match(r"[A-Z]+", ref).group(0):
@@ -108,7 +119,7 @@ class _SheetPartition(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema = schema
-        self.paths = sorted(_glob.glob(options["path"]))
+        self.paths = sorted(_glob.glob(local_path(options["path"])))
         self.sheets = [s.strip() for s in options.get("sheet", "Sheet1").split(",")]
         self.header_rows = int(options.get("headerRows", "1"))
 
@@ -181,7 +192,7 @@ class _Commit(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     def __init__(self, schema: StructType, options: dict):
         self.schema = schema
-        self.dir = options["path"]
+        self.dir = local_path(options["path"])
         self.sheet = options.get("sheet", "Sheet1")
 
     def write(self, iterator):
