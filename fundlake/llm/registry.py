@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("op1_quality", "op2_chat", "op3_bpe", "op4_jaccard", "op6_tokens", "op9_sharding")
+_MODULES = ("op1_quality", "op2_chat", "op3_bpe", "op4_jaccard", "op5_embeddings", "op6_tokens", "op7_decontaminate", "op9_sharding")
 
 
 def _loaded():
