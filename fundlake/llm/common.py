@@ -44,6 +44,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name made from ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """The columns doc_id, text (null: empty) and ``more``, nothing else."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, texts, utf8
+from .common import slices, spare, texts, utf8
 from .shingles import words
 
 MAX_DOCS, MAX_BYTES = 4000, 65_536
@@ -212,6 +212,18 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
         run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch, name):
+                part = batch.slice(a, b - a)
+                s = score(model, *line_features(*utf8(part.column(name))))
+                yield part.filter(pa.array(s >= threshold)).drop_columns([name])
+    name = spare(docs, "text")
+    return docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classify(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

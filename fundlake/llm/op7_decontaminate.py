@@ -16,13 +16,14 @@ several windows the most similar, then the first, is told; empty tables give no
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, texts, utf8
+from .common import slices, spare, texts, utf8
 from .shingles import mix, spans, words
 
 SIZE, THRESHOLD, RADIUS = 5, 0.8, 20
@@ -137,25 +138,45 @@ def _found(index: Items):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document and benchmark item of which it has a window of similarity 0.8 or more:
-    doc_id, text_crc32, item_id, similarity, distance, first_byte, end_byte (of the window in the text)."""
-    rows = texts(docs).select("doc_id", F.crc32("text").alias("tag"), "text")
-    schema = "doc_id long, text_crc32 long, item_id long, similarity double, distance int, first_byte long, end_byte long"
-    out, held, size = None, [], 0
-
-    def searched(out, held):
-        index = Items(held)
-        if out is not None and not index.id:
-            return out
-        found = rows.mapInArrow(_found(index), schema)
-        return found if out is None else out.unionByName(found)
+def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
+    """The benchmark's items in blocks of bounded bytes, each as an index; one at least."""
+    held, size, some = [], 0, False
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         held.append((r[0], r[1]))
         size += len(r[1] or "")
         if size >= block_bytes:
-            out, held, size = searched(out, held), [], 0
-    return searched(out, held)
+            yield Items(held)
+            held, size, some = [], 0, True
+    if held or not some:
+        yield Items(held)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document and benchmark item of which it has a window of similarity 0.8 or more:
+    doc_id, text_crc32, item_id, similarity, distance, first_byte, end_byte (of the window in the text)."""
+    rows = texts(docs).select("doc_id", F.crc32("text").alias("tag"), "text")
+    found = [rows.mapInArrow(_found(index), "doc_id long, text_crc32 long, item_id long, similarity double, distance int, first_byte long, end_byte long")
+             for index in indexes(benchmark, block_bytes)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without such a window, with all their columns."""
+    name = spare(docs, "text")
+
+    def without(index: Items):
+        def run(batches):
+            for batch in batches:
+                for a, b in slices(batch, name):
+                    part = batch.slice(a, b - a)
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[m[0] for m in index.matches(*utf8(part.column(name)))]] = False
+                    yield part.filter(pa.array(keep)).drop_columns([name])
+        return run
+    out = docs
+    for index in indexes(benchmark, block_bytes):
+        out = out.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(without(index), docs.schema)
+    return out
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("op1_quality", "op2_chat", "op3_bpe", "op4_jaccard", "op5_embeddings", "op6_tokens", "op7_decontaminate", "op9_sharding")
+_MODULES = ("op1_quality", "op2_chat", "op3_bpe", "op4_jaccard", "op5_embeddings", "op6_tokens",
+            "op7_decontaminate", "op8_suffixes", "op9_sharding", "op10_licenses")
 
 
 def _loaded():
@@ -12,7 +13,8 @@ def _loaded():
 
 
 def queries():
-    return {m: getattr(mod, m) for m, mod in _loaded().items()}
+    import corpus_pipeline
+    return {m: getattr(mod, m) for m, mod in _loaded().items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():

@@ -8,6 +8,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+EXACT = _BYTE.copy()  # for hashes that tell capitals apart
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
@@ -31,10 +32,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     """s with (s[b] - s[a]) * inverse power a = hash of data[a:b]."""
     s = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data))[0], out=s[1:])
+    np.cumsum(table[data] * powers(len(data))[0], out=s[1:])
     return s
 
 
