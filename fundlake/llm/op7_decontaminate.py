@@ -1,6 +1,6 @@
 """Operator 7, benchmark decontamination by SimHash of item-sized windows.
 
-Words are lower-cased runs of letters and digits; shingles have five words (an item of fewer words is
+Words are lower-cased (A-Z, U+00C0 to U+00DE) runs of letters and digits; shingles have five words (an item of fewer words is
 one shingle).  Windows as long as an item, in words, are fingerprinted (64-bit SimHash of the weighted
 shingles) wherever a document has a shingle of that item: a window without any has similarity 0.  The
 items' fingerprints lie in a multi-index of eight byte blocks; of two fingerprints within ``RADIUS`` one
@@ -35,6 +35,16 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 _NEAR = [[y for y in range(256) if bin(x ^ y).count("1") <= RADIUS // 8] for x in range(256)]
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes of a text with the capitals of U+00C0 to U+00DE as small letters (A-Z fold in the hashes)."""
+    if len(data) < 2:
+        return data
+    data, lead = data.copy(), data[:-1] == 0xC3
+    tail = data[1:]
+    tail[lead & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 32
+    return data
+
+
 def fingerprint(shingles: np.ndarray, weight: np.ndarray) -> int:
     bit = (shingles[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
     total = (weight[:, None] * (bit.astype(np.float64) * 2 - 1)).sum(0)
@@ -55,7 +65,7 @@ class Items:
         postings = defaultdict(list)
         for i, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
-            h = words(data, np.array([0, len(data)]), _SIGNS)[0]
+            h = words(folded(data), np.array([0, len(data)]), _SIGNS)[0]
             if not len(h):
                 continue
             k, size = len(self.id), min(SIZE, len(h))
@@ -92,7 +102,7 @@ class Items:
 
     def matches(self, data: np.ndarray, at: np.ndarray):
         """(text, item, similarity, distance, first byte, end byte) of all matches."""
-        h, start, end, first = words(data, at, _SIGNS)
+        h, start, end, first = words(folded(data), at, _SIGNS)
         runs = {s: spans(h, s) for s in self.known}
         asked = defaultdict(set)  # (text, words of the item, shingle size) -> first words of windows
         for s, known in self.known.items():
