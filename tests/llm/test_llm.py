@@ -306,8 +306,10 @@ def removed(rows):
         yield i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()
 
 
-def test_suffixes(docs, monkeypatch):
+@pytest.mark.parametrize("wide", [2, 8, 256])
+def test_suffixes(docs, monkeypatch, wide):
     monkeypatch.setattr(op8_suffixes, "BUCKET", 300)
+    monkeypatch.setattr(op8_suffixes, "WIDE", wide)
     out = op8_suffixes.dedup(docs).collect()
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out)
     assert got == Counter(removed(fixture_texts()))
