@@ -31,6 +31,12 @@ def fy_label(fy_num) -> Column:
     return F.concat(F.lit("FY"), F.lpad(F.pmod(_c(fy_num), F.lit(100)).cast("string"), 2, "0"))
 
 
+def fy_number(label) -> Column:
+    """Start year of a two-digit label: FY70 to FY99 are 1970 to 1999, FY00 to FY69 are 2000 to 2069."""
+    n = F.substring(_c(label), 3, 2).cast("int")
+    return n + F.when(n >= 70, F.lit(1900)).otherwise(F.lit(2000))
+
+
 def fiscal_year(d) -> Column:
     return fy_label(fiscal_year_num(d))
 

@@ -35,13 +35,7 @@ def overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list
 
 def write_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """B2: dynamic partition overwrite (only partitions present in ``df`` are replaced)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlake.functions import exact, money
+from fundlake.functions import exact, fiscal, money
 from fundlake.functions.exact import ratio, ratio_sql
 from fundlake.operators import history, lift, quality, windows
 from fundlake.plans.catalog import FY, register as _reg_main  # noqa: F401
@@ -78,7 +78,7 @@ dealer_history AS (
 
 TRANSITIONS_SQL = """transitions AS (
   SELECT concat('TC-', cast(user_id AS string), '-', cast(event_id % 7 AS string)) AS claim_id,
-         concat('D-', lpad(cast(user_id AS string), 6, '0')) AS dealer_id, CAST(ts AS TIMESTAMP) AS ts, event_id,
+         concat('D-', printf('%06d', user_id)) AS dealer_id, CAST(ts AS TIMESTAMP) AS ts, event_id,
          CASE event_type WHEN 'view' THEN 'Submitted' WHEN 'click' THEN 'Under_Review' WHEN 'signup' THEN 'Approved'
                          WHEN 'purchase' THEN 'Paid' WHEN 'error' THEN 'Rejected' END AS status
   FROM events),
@@ -305,13 +305,14 @@ def activity_roi_rank(spark, sf_dir):
 
 
 @register("forfeiture_yoy", q("""
-SELECT fiscal_year, forfeited_usd, lag(forfeited_usd) OVER (ORDER BY fiscal_year) AS prior_forfeited_usd,
-       CAST(forfeited_usd - lag(forfeited_usd) OVER (ORDER BY fiscal_year) AS DECIMAL(18,2)) AS yoy_change_usd
-FROM (SELECT fiscal_year, CAST(sum(forfeited_usd) AS DECIMAL(18,2)) AS forfeited_usd FROM util GROUP BY 1) x"""))
+SELECT fiscal_year, forfeited_usd, lag(forfeited_usd) OVER (ORDER BY y) AS prior_forfeited_usd,
+       CAST(forfeited_usd - lag(forfeited_usd) OVER (ORDER BY y) AS DECIMAL(18,2)) AS yoy_change_usd
+FROM (SELECT fiscal_year, CAST(sum(forfeited_usd) AS DECIMAL(18,2)) AS forfeited_usd,
+             CASE WHEN fiscal_year >= 'FY70' THEN '19' ELSE '20' END || substr(fiscal_year, 3) AS y FROM util GROUP BY 1) x"""))
 def forfeiture_yoy(spark, sf_dir):
     """Forfeiture per fiscal year with the prior year (lag over the per-FY aggregate)."""
     u = _m(spark, sf_dir).utilization.groupBy("fiscal_year").agg(M(F.sum("forfeited_usd")).alias("forfeited_usd"))
-    r = windows.with_prior(u, [], "fiscal_year", "forfeited_usd")
+    r = windows.with_prior(u.withColumn("fy", fiscal.fy_number("fiscal_year")), [], "fy", "forfeited_usd").drop("fy")
     return r.withColumn("yoy_change_usd", M(F.col("forfeited_usd") - F.col("prior_forfeited_usd")))
 
 

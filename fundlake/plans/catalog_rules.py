@@ -11,6 +11,7 @@ from fundlake.operators import governance, quality, rules, windows, workflow
 from fundlake.plans.catalog import FY, REGION_ID
 from fundlake.plans.model import Model
 from fundlake.plans.oracle import AS_OF, q
+from fundlake.sources.domain import dealer_key
 from fundlake.sources.driver import read_table
 
 REGISTRY: dict = {}
@@ -66,7 +67,7 @@ def users(spark: SparkSession, m: Model, sf_dir: str) -> DataFrame:
     return u.select(F.concat(F.lit("U-"), F.col("i").cast("string")).alias("user_id"), "role",
                     F.when(F.col("role").isin("channel_mgr", "rmd"), F.col("region_id")).alias("region_id"),
                     F.when(F.col("role") == "dealer",
-                           F.concat(F.lit("D-"), F.lpad((F.col("i") * 7).cast("string"), 6, "0"))).alias("dealer_id"))
+                           dealer_key(F.col("i") * 7)).alias("dealer_id"))
 
 
 _WF_SQL = """reviews AS (
@@ -97,7 +98,7 @@ reviews2 AS (
 _USERS_SQL = """users AS (
   SELECT 'U-' || cast(i AS string) AS user_id, role,
          CASE WHEN role IN ('channel_mgr','rmd') THEN region_id END AS region_id,
-         CASE WHEN role = 'dealer' THEN 'D-' || lpad(cast(i * 7 AS string), 6, '0') END AS dealer_id
+         CASE WHEN role = 'dealer' THEN 'D-' || printf('%06d', i * 7) END AS dealer_id
   FROM (SELECT i, CASE i % 5 WHEN 0 THEN 'director' WHEN 1 THEN 'channel_mgr' WHEN 2 THEN 'rmd' WHEN 3 THEN 'finance'
                             ELSE 'dealer' END AS role
         FROM (SELECT DISTINCT conv_id % 10 AS i FROM conversations) x) u

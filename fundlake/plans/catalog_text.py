@@ -325,7 +325,7 @@ def _rx(x, alts):
 SELECT session_id, turn_index, user_role,
        CASE WHEN user_role = 'channel_mgr' AND {_rx('text', corpus.REFUSE_OTHER_REGION)} THEN 'refuse'
             WHEN {_rx('text', corpus.QUANT_VERBS)} THEN
-                 CASE WHEN {_rx('text', corpus.MARKETING_SIGNALS)} THEN 'genie_marketing' ELSE 'genie_util' END
+                 CASE WHEN {_rx('text', corpus.MARKETING_SIGNALS)} THEN 'metrics_marketing' ELSE 'metrics_utilization' END
             WHEN {_rx('text', corpus.POLICY_VERBS)} THEN 'ka' ELSE 'ka' END AS route
 FROM chat WHERE role = 'user'""")
 def question_routes(spark, sf_dir):
@@ -408,20 +408,23 @@ def result_preview(spark, sf_dir):
 
 @register("eval_expected_facts", "WITH " + _CHAT_SQL + f""",
 qa AS (
-  SELECT u.session_id, u.turn_index, list_slice({_tok('u.text')}, 1, 2) AS facts, lower(a.text) AS answer
-  FROM chat u JOIN chat a ON a.session_id = u.session_id AND a.turn_index = u.turn_index + 1 AND a.role = 'assistant'
+  SELECT u.session_id, u.turn_index, list_filter([list_min({_tok('u.text')}), list_max({_tok('u.text')})], lambda f: f IS NOT NULL) AS facts, lower(a.text) AS answer
+  FROM chat u LEFT JOIN chat a ON a.session_id = u.session_id AND a.turn_index = u.turn_index + 1 AND a.role = 'assistant'
   WHERE u.role = 'user')
 SELECT session_id, turn_index, len(facts) AS n_facts,
-       coalesce(list_bool_and(list_transform(facts, lambda f: contains(answer, f))), true) AS passed
+       answer IS NOT NULL AND coalesce(list_bool_and(list_transform(facts, lambda f: contains(answer, f))), true) AS passed
 FROM qa""")
 def eval_expected_facts(spark, sf_dir):
     """The answer (next assistant turn) must contain every expected fact; the facts of a
-    question are its first two tokens."""
+    question are the first and the last of all its tokens in dictionary order.  A question without
+    an answer fails."""
     t = chat_turns(spark, sf_dir)
     u = t.filter(F.col("role") == "user").select("session_id", "turn_index",
-                                                  F.slice(corpus.tokens(F.col("text")), 1, 2).alias("facts"))
+                                                  F.array_compact(F.array(F.array_min(corpus.tokens(F.col("text"))),
+                                                                           F.array_max(corpus.tokens(F.col("text"))))).alias("facts"))
     a = t.filter(F.col("role") == "assistant").select("session_id", (F.col("turn_index") - 1).alias("turn_index"),
                                                        F.lower("text").alias("answer"))
-    j = u.join(a, ["session_id", "turn_index"])
+    j = u.join(a, ["session_id", "turn_index"], "left")
     return j.select("session_id", "turn_index", F.size("facts").cast("bigint").alias("n_facts"),
-                    F.forall("facts", lambda f: F.col("answer").contains(f)).alias("passed"))
+                    F.coalesce(F.col("answer").isNotNull() & F.forall("facts", lambda f: F.col("answer").contains(f)),
+                               F.lit(False)).alias("passed"))

@@ -19,7 +19,7 @@ dim_region AS (
          CAST(NULL AS VARCHAR) AS default_currency, n_nationkey
   FROM nation JOIN region ON n_regionkey = r_regionkey),
 dealer AS (
-  SELECT concat('D-', lpad(cast(c_custkey AS string), 6, '0')) AS dealer_id, c_name AS dealer_name,
+  SELECT concat('D-', printf('%06d', c_custkey)) AS dealer_id, c_name AS dealer_name,
          concat('ACC-', cast(c_custkey AS string)) AS account_id, region_id, region, sub_region, region_full,
          sub_region AS country,
          CASE WHEN c_custkey % 20 = 0 THEN 'Platinum' WHEN c_custkey % 20 < 5 THEN 'Gold'
@@ -36,8 +36,8 @@ claim_base AS (
               ELSE 'Expired' END AS status
   FROM orders),
 coop_claim AS (
-  SELECT concat('CL-', lpad(cast(k AS string), 8, '0')) AS claim_id,
-         concat('D-', lpad(cast(o_custkey AS string), 6, '0')) AS dealer_id,
+  SELECT concat('CL-', printf('%08d', k)) AS claim_id,
+         concat('D-', printf('%06d', o_custkey)) AS dealer_id,
          concat('PRG-', cast(fy AS string), CASE WHEN o_custkey % 5 = 0 AND k % 3 = 0 THEN '-LAB' ELSE '-MAIN' END) AS program_id,
          concat('ACT-', lpad(cast(k % 22 AS string), 2, '0')) AS activity_type_id,
          CASE WHEN k % 20 <> 0 THEN concat('PA-', cast(k % 5000 AS string)) END AS preapproval_id,
@@ -69,7 +69,7 @@ coop_allocation AS (
        JOIN (SELECT '-MAIN' AS p UNION ALL SELECT '-LAB' AS p) q ON p = '-MAIN' OR c_custkey % 5 = 0),
 sell_through_order AS (
   SELECT concat('O-', cast(o_orderkey AS string)) AS order_id, l_linenumber AS line_no,
-         concat('D-', lpad(cast(o_custkey AS string), 6, '0')) AS dealer_id,
+         concat('D-', printf('%06d', o_custkey)) AS dealer_id,
          CASE l_partkey % 5 WHEN 0 THEN 'Seating' WHEN 1 THEN 'Desks' WHEN 2 THEN 'Storage' WHEN 3 THEN 'Architecture' ELSE 'Accessories' END AS product_family,
          cast(o_orderdate AS date) AS order_date, cast(l_shipdate AS date) AS ship_date,
          cast(cast(l_extendedprice AS decimal(14,2)) * (cast(1 AS decimal(4,2)) - cast(l_discount AS decimal(4,2))) AS decimal(14,2)) AS net_revenue_usd

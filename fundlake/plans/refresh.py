@@ -63,8 +63,10 @@ def refresh(spark: SparkSession, sf_dir: str, out_dir: str | None = None, as_of:
                                             ["fiscal_year"]),
         "fact_activity_lift": (gold.activity_lift(rd("coop_claim"), rd("dealer"), rd("activity_type")), None),
     }
-    jobs = {f"gold.{n}": (lambda n=n, df=df, parts=parts: sinks.overwrite(df, f"{out_dir}/gold/{n}",
-                                                                         partition_by=parts))
+    # a daily snapshot replaces its own day only; the other facts are rebuilt whole
+    jobs = {f"gold.{n}": (lambda n=n, df=df, parts=parts:
+                          sinks.write_partitioned(df, f"{out_dir}/gold/{n}", parts) if parts and "date_key" in parts
+                          else sinks.overwrite(df, f"{out_dir}/gold/{n}", partition_by=parts))
             for n, (df, parts) in golds.items()}
     timings.update(_write_all(jobs, parallel))
     return timings

@@ -109,7 +109,7 @@ def source_json_claims(spark: SparkSession, sf_dir: str):
 
 _EVAL_ROWS_SQL = """
 SELECT conv_id AS session_id, turn AS turn_index,
-       CASE WHEN conv_id % 2 = 0 THEN 'ka' ELSE 'genie' END AS expected_tool, conv_id % 3 = 0 AS must_cite_corpus,
+       CASE WHEN conv_id % 2 = 0 THEN 'policy' ELSE 'metrics' END AS expected_tool, conv_id % 3 = 0 AS must_cite_corpus,
        CASE conv_id % 4 WHEN 0 THEN 'metric' WHEN 1 THEN 'policy' WHEN 2 THEN 'action' ELSE 'refuse' END AS category,
        CASE (conv_id % 10) % 5 WHEN 0 THEN 'director' WHEN 1 THEN 'channel_mgr' WHEN 2 THEN 'rmd' WHEN 3 THEN 'finance'
             ELSE 'dealer' END AS persona,
@@ -127,7 +127,7 @@ def source_eval_jsonl(spark: SparkSession, sf_dir: str):
     rows = c.select(
         k.alias("session_id"), F.col("turn").alias("turn_index"),
         F.struct(F.array(F.struct(F.col("role"), F.col("text").alias("content"))).alias("messages")).alias("inputs"),
-        F.struct(F.when(k % 2 == 0, F.lit("ka")).otherwise(F.lit("genie")).alias("expected_tool"),
+        F.struct(F.when(k % 2 == 0, F.lit("policy")).otherwise(F.lit("metrics")).alias("expected_tool"),
                  F.array().cast("array<string>").alias("expected_facts"),
                  (k % 3 == 0).alias("must_cite_corpus")).alias("expectations"),
         F.struct(_pick(CATEGORIES, k % 4).alias("category"), _pick(ROLES, (k % 10) % 5).alias("persona")).alias("tags"))

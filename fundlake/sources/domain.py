@@ -61,8 +61,15 @@ def _case_bounds(value: Column, labels, bounds) -> Column:
     return expr.otherwise(F.lit(labels[-1]))
 
 
+def padded(number: Column, width: int) -> Column:
+    """Digits of ``number``, zeros in front up to ``width``; longer numbers keep all their digits
+    (``lpad`` alone would cut them)."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def dealer_key(custkey: Column) -> Column:
-    return F.concat(F.lit("D-"), F.lpad(custkey.cast("string"), 6, "0"))
+    return F.concat(F.lit("D-"), padded(custkey, 6))
 
 
 class Domain:
@@ -121,7 +128,7 @@ class Domain:
         sub = F.col("submission_date")
         prog_suffix = F.when(((F.col("o_custkey") % 5) == 0) & ((k % 3) == 0), F.lit("-LAB")).otherwise(F.lit("-MAIN"))
         return self.claim_base.select(
-            F.concat(F.lit("CL-"), F.lpad(k.cast("string"), 8, "0")).alias("claim_id"),
+            F.concat(F.lit("CL-"), padded(k, 8)).alias("claim_id"),
             dealer_key(F.col("o_custkey")).alias("dealer_id"),
             F.concat(F.lit("PRG-"), F.col("fy").cast("string"), prog_suffix).alias("program_id"),
             F.concat(F.lit("ACT-"), F.lpad((k % N_ACTIVITIES).cast("string"), 2, "0")).alias("activity_type_id"),

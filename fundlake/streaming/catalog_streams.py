@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from fundlake.sources.domain import dealer_key, N_ACTIVITIES
 from fundlake.sources.driver import read_table
-from fundlake.session import checkpoint_root
+from fundlake.session import checkpoint_root, path_exists
 from fundlake.streaming import streams
 
 REGISTRY: dict = {}
@@ -73,7 +73,7 @@ def _transitions(sdf: DataFrame) -> DataFrame:
 _EV_SQL = "ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value, props FROM events)"
 _TR_SQL = _EV_SQL + """,
 tr AS (SELECT concat('TC-', cast(user_id AS string), '-', cast(event_id % 7 AS string)) AS claim_id,
-              concat('D-', lpad(cast(user_id AS string), 6, '0')) AS dealer_id, ts, event_id,
+              concat('D-', printf('%06d', user_id)) AS dealer_id, ts, event_id,
               CASE event_type WHEN 'view' THEN 'Submitted' WHEN 'click' THEN 'Under_Review' WHEN 'signup' THEN 'Approved'
                               WHEN 'purchase' THEN 'Paid' WHEN 'error' THEN 'Rejected' END AS status
        FROM ev)"""
@@ -105,12 +105,12 @@ def _marketing(sdf: DataFrame, dealers: DataFrame) -> DataFrame:
 
 
 _MK_SQL = _EV_SQL + f""",
-mk AS (SELECT concat('EV-', cast(e.event_id AS string)) AS event_id, concat('D-', lpad(cast(e.user_id AS string), 6, '0')) AS dealer_id,
+mk AS (SELECT concat('EV-', cast(e.event_id AS string)) AS event_id, concat('D-', printf('%06d', e.user_id)) AS dealer_id,
               concat('ACT-', lpad(cast(e.event_id % 22 AS string), 2, '0')) AS activity_type_id,
               CAST(e.ts AS DATE) AS start_date, CAST(trunc(e.value) AS INTEGER) AS attendees
        FROM ev e),
 mk2 AS (SELECT mk.*, d.region_id, d.tier FROM mk LEFT JOIN (
-          SELECT concat('D-', lpad(cast(c_custkey AS string), 6, '0')) AS dealer_id,
+          SELECT concat('D-', printf('%06d', c_custkey)) AS dealer_id,
                  concat('RGN-', r_name, '-', cast(n_nationkey AS string)) AS region_id,
                  CASE WHEN c_custkey % 20 = 0 THEN 'Platinum' WHEN c_custkey % 20 < 5 THEN 'Gold'
                       WHEN c_custkey % 20 < 13 THEN 'Silver' ELSE 'Authorized' END AS tier
@@ -272,10 +272,9 @@ def stream_late_rows(spark, sf_dir):
     streams.run_available_now(sdf, streams.late_rows_sink(on_time, late, "ts", "1 hour", state),
                               checkpoint_root(spark, "ckpt-late"))
     n_on = spark.read.parquet(on_time).agg(F.count(F.lit(1))).scalar()
-    try:
-        late_df = spark.read.parquet(late)
-    except Exception:  # noqa: BLE001 - no late rows written
-        late_df = spark.read.parquet(on_time).limit(0)
+    late_df = spark.read.parquet(late if path_exists(spark, late) else on_time)
+    if not path_exists(spark, late):  # no late rows written
+        late_df = late_df.limit(0)
     return late_df.agg(F.count(F.lit(1)).alias("n_late")).select("n_late", (F.col("n_late") + n_on).alias("n_rows"))
 
 
@@ -305,8 +304,10 @@ CHANGE_SCHEMA = T.StructType([
     T.StructField("region_id", T.StringType()), T.StructField("sales_rep_id", T.StringType()),
     T.StructField("tier", T.StringType()), T.StructField("is_deleted", T.BooleanType()),
     T.StructField("ts", T.TimestampType())])
-# replay order of the change kinds by modification year: out of event-time order on purpose
-CHANGE_REPLAY_ORDER = [1998, 1995, 2000, 1996]
+def replay_order(years: list[int]) -> list[int]:
+    """All modification years, out of event-time order on purpose: even ones first, latest first."""
+    return sorted(years, key=lambda y: (y % 2, -y))
+
 
 
 def _scd2_sql():
@@ -324,7 +325,8 @@ def stream_scd2_dealer_history(spark, sf_dir):
     from fundlake.plans.model import Model
     ch = _changes(Model(spark, sf_dir)).withColumn("_chunk", F.year("ts"))
     src = checkpoint_root(spark, "staged-changes")
-    streams.stage_files(ch, src, "_chunk", CHANGE_REPLAY_ORDER)
+    years = [r[0] for r in ch.select("_chunk").distinct().collect()]  # one value a calendar year
+    streams.stage_files(ch, src, "_chunk", replay_order(years))
     sdf = streams.file_stream(spark, src + "/*", CHANGE_SCHEMA)
     log, hist = checkpoint_root(spark, "scd2-log"), checkpoint_root(spark, "scd2-history")
     sink = streams.scd2_merge_sink(log, hist, "account_id", "ts",

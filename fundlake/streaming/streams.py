@@ -23,7 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fundlake.operators import quality
 from fundlake.operators.windows import STATUS_RANK
-from fundlake.session import checkpoint_root
+from fundlake.session import checkpoint_root, path_exists
 
 
 # ------------------------------------------------------------------ source staging
@@ -195,12 +195,10 @@ def late_rows_sink(path_on_time: str, path_late: str, ts: str, tolerance: str =
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         prev_max = None
-        if state_path:
-            try:  # running max of earlier batches only (a replay ignores its own state row)
-                st = spark.read.parquet(state_path).filter(F.col("_batch_id") < batch_id)
-                prev_max = st.agg(F.max("max_ts")).scalar()
-            except Exception:  # noqa: BLE001 - first batch: no state yet
-                prev_max = None
+        if state_path and path_exists(spark, state_path):
+            # running max of earlier batches only (a replay ignores its own state row)
+            st = spark.read.parquet(state_path).filter(F.col("_batch_id") < batch_id)
+            prev_max = st.agg(F.max("max_ts")).scalar()
         if prev_max is not None:
             cut = prev_max - F.expr(f"INTERVAL {tolerance}")
             late = F.coalesce(F.col(ts) < cut, F.lit(False))
@@ -233,23 +231,17 @@ def scd2_merge_sink(log_path: str, history_path: str, key: str, ts: str, tracked
         touched = [r.bucket for r in b.select("bucket").distinct().collect()]  # <= n_buckets values
         if not touched:
             return
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
+        log = b
+        if path_exists(spark, log_path):
             # replayed batch: drop its earlier copy from the touched buckets, then append
-            try:
-                old = spark.read.parquet(log_path).filter(F.col("bucket").isin(touched))
-                old = old.filter(F.col("_batch_id") != batch_id)
-                log = old.unionByName(b)
-            except Exception:  # noqa: BLE001 - first batch: empty log
-                log = b
-            staged = log.select(*b.columns)
-            tmp = f"{log_path}_stage_{batch_id}"
-            staged.write.mode("overwrite").partitionBy("bucket").parquet(tmp)
-            fresh = spark.read.parquet(tmp)
-            fresh.write.mode("overwrite").partitionBy("bucket").parquet(log_path)
-            hist = scd2(fresh, key, ts, tracked, deleted, carry=carry + ["bucket"])
-            hist.write.mode("overwrite").partitionBy("bucket").parquet(history_path)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+            old = spark.read.parquet(log_path).filter(F.col("bucket").isin(touched))
+            log = old.filter(F.col("_batch_id") != batch_id).unionByName(b)
+        tmp = f"{log_path}_stage_{batch_id}"
+        log.select(*b.columns).write.mode("overwrite").partitionBy("bucket").parquet(tmp)
+        fresh = spark.read.parquet(tmp)
+
+        def replace(df: DataFrame, path: str) -> None:
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        replace(fresh, log_path)
+        replace(scd2(fresh, key, ts, tracked, deleted, carry=carry + ["bucket"]), history_path)
     return sink
