@@ -1,10 +1,10 @@
-"""Corpus vocabulary with chunked documents: what operators 3 and 6 share.
+"""Distinct pre-tokens of chunks of documents: what operators 3 and 6 share.
 
-``split`` cuts whole texts into pre-tokens once and writes chunks of documents: every chunk holds its
-distinct pre-tokens, and for each document the places of its pre-tokens in that list.  ``vocabulary``
-has each distinct pre-token of the corpus once.  ``answered`` joins what was worked out for a
-pre-token back to the chunks that hold it, one row for each chunk and distinct pre-token, so a
-pre-token that stands in every document costs one row a chunk, not one an occurrence.
+``pieces`` cuts whole texts into pre-tokens in the JVM.  A task takes its documents in chunks of bounded
+bytes; ``chunk`` gives a chunk's distinct pre-tokens and the place of every occurrence among them, so
+what costs time is done once for each distinct pre-token.  ``Known`` keeps results for the pre-tokens a
+worker has met, up to a bound, for its later chunks.  Nothing is shuffled: a row for each chunk and
+distinct pre-token, dealt by pre-token and joined back, took more disk than the documents themselves.
 """
 
 from __future__ import annotations
@@ -12,85 +12,54 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts
+from .common import texts
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 16_000_000
+KEPT = 300_000  # pre-tokens that a worker keeps results for
 # public_tokenizers.PATTERN for the JVM's regular expressions: \s as the Unicode property.
 _SPACE = r"\p{IsWhite_Space}"
 _PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _SPACE + r"\p{L}\p{N}]+|" + _SPACE + r"+(?![^"
             + _SPACE + r"])|" + _SPACE + "+")
-SCHEMA = ("chunk long, doc_id array<long>, n_bytes array<long>, n_pieces array<int>, words array<binary>, "
-          "places binary, copies binary")
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return x.astype("<u4").tobytes()
+class Known:
+    """word -> result, at most KEPT of them; a full table is emptied."""
 
+    def __init__(self):
+        self.held: dict = {}
 
-def _chunk(rows: pa.RecordBatch, chunk: int, ordered: bool) -> pa.RecordBatch:
-    pieces = rows.column("pieces")
-    flat = pieces.flatten().dictionary_encode()
-    codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    length = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
-    copies = np.zeros(0, np.int64)
-    if not ordered and len(codes):
-        wide = len(flat.dictionary)
-        pair, copies = np.unique(np.repeat(np.arange(len(length)), length) * wide + codes, return_counts=True)
-        codes, length = pair % wide, np.bincount(pair // wide, minlength=len(length))
-    listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    return pa.record_batch([
-        pa.array([chunk], pa.int64()), listed(rows.column("doc_id")), listed(rows.column("n_bytes")),
-        listed(pa.array(length, pa.int32())), listed(flat.dictionary.cast(pa.binary())),
-        pa.array([_packed(codes)], pa.binary()), pa.array([_packed(copies)], pa.binary())],
-        ["chunk", "doc_id", "n_bytes", "n_pieces", "words", "places", "copies"])
+    def __call__(self, words: list, work) -> list:
+        """Results for ``words`` in order; ``work`` makes those that are not known."""
+        held = self.held
+        new = [w for w in words if w not in held]
+        made = dict(zip(new, work(new))) if new else {}
+        out = [made[w] if w in made else held[w] for w in words]
+        if len(held) + len(made) > KEPT:
+            held.clear()
+        held.update(list(made.items())[:KEPT])
+        return out
 
 
-def _splitter(ordered: bool):
-    def run(batches):
-        n = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for a, b in slices(batch, "text", CHUNK_BYTES):
-                yield _chunk(batch.slice(a, b - a), n, ordered)
-                n += 1
-    return run
-
-
-def split(docs: DataFrame, name: str, ordered: bool, special: str | None = None) -> DataFrame:
-    """The chunks of ``docs``.  ordered: places follow the text; else each document has its distinct
-    pre-tokens with their numbers of copies.  special: a string that is always one pre-token."""
-    pattern = _PATTERN
-    pieces = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+def pieces(docs: DataFrame, special: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, text and pieces (its pre-tokens in order).  special: a string that is always one
+    pre-token."""
+    found = F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))
     if special:  # the parts between special strings are cut on their own
         quoted = F.lit(special)
         parts = F.split("text", r"\Q" + special + r"\E", -1)
         one = F.transform(parts, lambda p, i: F.concat(F.when(i > 0, F.array(quoted)).otherwise(F.array().cast("array<string>")),
-                                                       F.regexp_extract_all(p, F.lit(pattern), F.lit(0))))
-        pieces = F.when(F.contains("text", quoted), F.flatten(one)).otherwise(pieces)
-    rows = texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", pieces.alias("pieces"))
-    return cut(rows.mapInArrow(_splitter(ordered), SCHEMA), name)
-
-
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.explode("words").alias("word")).distinct()
-
-
-def answered(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``vocab`` (word, value) joined to the chunks: the chunk's columns without words, and ``found``,
-    its (place, value) pairs in any order."""
-    held = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    found = held.join(vocab, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "value")).alias("found"))
-    return chunks.drop("words").join(found, "chunk", "left")
-
-
-def found(row: pa.RecordBatch, i: int) -> tuple[np.ndarray, pa.Array]:
-    """The values of chunk ``i`` of a batch in the order of its places, and those places."""
-    held = row.column("found")[i].values
-    if held is None:
-        return np.zeros(0, np.int64), pa.array([], row.schema.field("found").type.value_type.field("value").type)
-    place = held.field("place").to_numpy()
-    order = np.argsort(place, kind="stable")
-    return place[order], held.field("value").take(pa.array(order))
+                                                       F.regexp_extract_all(p, F.lit(_PATTERN), F.lit(0))))
+        found = F.when(F.contains("text", quoted), F.flatten(one)).otherwise(found)
+    return texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", found.alias("pieces"))
+
+
+def chunk(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of ``rows``, the place of each occurrence among them, and where each
+    document's occurrences begin and end."""
+    held = rows.column("pieces")
+    flat = held.flatten().dictionary_encode()
+    length = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(length)])

@@ -1,10 +1,10 @@
 """Operator 3, byte-level BPE by corpus-level merge replay, and decoding.
 
-The corpus's distinct pre-tokens are dealt over tasks.  A task lays its pre-tokens out as one array of
-byte ids with links to the neighbours, keeps an inverted index from token pair to the places where the
+A task takes the distinct pre-tokens of its slice of the corpus, lays them out as one array of byte ids
+with links to the neighbours, keeps an inverted index from token pair to the places where the
 pair stands, and applies the merges in rank order; a merge touches only the places in its list and
-their neighbours.  The ids of each pre-token are joined back to the documents, and decoding maps ids to
-their bytes again.
+their neighbours.  The ids of each pre-token are put together for the documents, and decoding maps ids to their
+bytes again.
 
 Defined results: a null or empty text has no ids (digests of nothing); repeated rows each get a row;
 a null doc_id keeps its row; an empty table gives no rows.  A pre-token of a million bytes takes memory
@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import answered, found, split, vocabulary
+from .chunks import CHUNK_BYTES, Known, chunk, pieces
+from .common import slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REPLAY_BYTES = 4_000_000  # pre-token bytes that are replayed together
 _loaded: dict = {}
 
 
@@ -124,48 +124,29 @@ def replay(words: list[bytes], ranks: Ranks) -> list[np.ndarray]:
     return [x if x is not None else np.zeros(0, "<u4") for x in out]
 
 
-def _replayer(path: str):
+def _encoder(path: str):
     def run(batches):
-        ranks, held, size = load(path), [], 0
-
-        def made(words):
-            return pa.record_batch([pa.array(words, pa.binary()), pa.array([x.tobytes() for x in replay(words, ranks)], pa.binary())],
-                                   ["word", "value"])
+        ranks, known = _loaded.setdefault((path, "known"), (load(path), Known()))
         for batch in batches:
-            for w in batch.column(0).to_pylist():
-                held.append(w)
-                size += len(w)
-                if size >= REPLAY_BYTES:
-                    yield made(held)
-                    held, size = [], 0
-        if held:
-            yield made(held)
+            for a, b in slices(batch, "text", CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                words, place, at = chunk(part)
+                value = known(words.cast(pa.binary()).to_pylist(), lambda new: [x.tobytes() for x in replay(new, ranks)])
+                begin = np.concatenate([[0], np.cumsum([len(v) // 4 for v in value])]).astype(np.int64)
+                flat = np.frombuffer(b"".join(value), "<u4")
+                each = (begin[1:] - begin[:-1])[place]
+                ends = np.cumsum(each)
+                ids = flat[np.arange(each.sum()) + np.repeat(begin[place] - (ends - each), each)]
+                to = np.concatenate([[0], ends])[at]
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(to), pa.int64()),
+                                       pa.array([ids[x:y].tobytes() for x, y in zip(to[:-1], to[1:])], pa.binary())],
+                                      ["doc_id", "n_tokens", "ids"])
     return run
 
 
-def _assembled(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            place = np.frombuffer(batch.column("places")[i].as_buffer(), "<u4")
-            value = found(batch, i)[1]
-            begin = np.frombuffer(value.buffers()[1], np.int32)[value.offset:value.offset + len(value) + 1].astype(np.int64) // 4
-            flat = np.frombuffer(value.buffers()[2] or b"", "<u4")
-            each = (begin[1:] - begin[:-1])[place]
-            ends = np.cumsum(each)
-            ids = flat[np.arange(each.sum()) + np.repeat(begin[place] - (ends - each), each)]
-            at = np.concatenate([[0], np.cumsum(batch.column("n_pieces")[i].values.to_numpy())]).astype(np.int64)
-            to = np.concatenate([[0], ends])[at]
-            yield pa.record_batch([batch.column("doc_id")[i].values, pa.array(np.diff(to), pa.int64()),
-                                   pa.array([ids[a:b].tobytes() for a, b in zip(to[:-1], to[1:])], pa.binary())],
-                                  ["doc_id", "n_tokens", "ids"])
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every whole text."""
-    chunks = split(docs, "bpe", True)
-    vocab = vocabulary(chunks).mapInArrow(_replayer(path), "word binary, value binary")
-    return answered(chunks, vocab).select("doc_id", "n_pieces", "places", "found").mapInArrow(
-        _assembled, "doc_id long, n_tokens long, ids binary")
+    return pieces(docs).mapInArrow(_encoder(path), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(ids: bytes, ranks: Ranks) -> bytes:

@@ -1,5 +1,5 @@
-"""Operator 6, token counts: pieces are counted once for each distinct pre-token of the corpus,
-joined to the documents' pre-token frequencies and summed; no document's ids are materialised.
+"""Operator 6, token counts: pieces are counted once for each distinct pre-token of a chunk of
+documents, joined to the documents' pre-token frequencies and summed; no document's ids are materialised.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; a null doc_id keeps its row; repeated
 rows each get a row; an empty table gives no rows.  The special string of the vocabulary inside a
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import answered, found, split, vocabulary
+from .chunks import CHUNK_BYTES, Known, chunk, pieces
+from .common import slices
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -28,27 +29,21 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def _counter(path: str):
+def _counter(path: str, limit: int):
     def run(batches):
-        t = _tokenizer(path)
-        for batch in batches:
-            words = [w.decode() for w in batch.column(0).to_pylist()]
-            n = [len(x) for x in t.encode_batch_fast(words, add_special_tokens=False)]
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int32())], ["word", "value"])
-    return run
+        t, known = _loaded.setdefault((path, "known"), (_tokenizer(path), Known()))
 
-
-def _summed(limit: int):
-    def run(batches):
+        def counted(words):
+            return [len(x) for x in t.encode_batch_fast(words, add_special_tokens=False)]
         for batch in batches:
-            for i in range(batch.num_rows):
-                place, copies = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u4") for k in ("places", "copies"))
-                value = found(batch, i)[1].to_numpy().astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(value[place] * copies)])
-                at = np.concatenate([[0], np.cumsum(batch.column("n_pieces")[i].values.to_numpy())]).astype(np.int64)
-                n = ends[at[1:]] - ends[at[:-1]]
-                yield pa.record_batch([batch.column("doc_id")[i].values, batch.column("n_bytes")[i].values,
-                                       pa.array(n, pa.int64()), pa.array(n > limit)],
+            for a, b in slices(batch, "text", CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                words, place, at = chunk(part)
+                value = np.array(known(words.to_pylist(), counted), np.int64)
+                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                pair, copies = np.unique(doc * max(1, len(value)) + place, return_counts=True)  # frequencies by document
+                n = np.bincount(pair // max(1, len(value)), copies * value[pair % max(1, len(value))], len(at) - 1).astype(np.int64)
+                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), pa.array(n), pa.array(n > limit)],
                                       ["doc_id", "n_bytes", "n_tokens", "over_limit"])
     return run
 
@@ -61,10 +56,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     added = [x["content"] for x in kind["added_tokens"]]
     if kind["pre_tokenizer"]["type"] != "ByteLevel" or kind["pre_tokenizer"]["add_prefix_space"] or len(added) > 1:
         raise ValueError("a byte-level pre-tokenizer without prefix space and one special string at most is expected")
-    chunks = split(docs, "tokens", False, added[0] if added else None)
-    vocab = vocabulary(chunks).mapInArrow(_counter(path), "word binary, value int")
-    return answered(chunks, vocab).drop("chunk").mapInArrow(
-        _summed(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return pieces(docs, added[0] if added else None).mapInArrow(
+        _counter(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
