@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-CHUNK_BYTES = 16_000_000
-KEPT = 300_000  # pre-tokens that a worker keeps results for
+CHUNK_BYTES = 4_000_000
+KEPT = 200_000  # pre-tokens that a worker keeps results for
 # public_tokenizers.PATTERN for the JVM's regular expressions: \s as the Unicode property.
 _SPACE = r"\p{IsWhite_Space}"
 _PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _SPACE + r"\p{L}\p{N}]+|" + _SPACE + r"+(?![^"
