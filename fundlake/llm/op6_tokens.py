@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import CHUNK_BYTES, Known, chunk, pieces
-from .common import slices
+from .chunks import Known, chunks, rows
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -29,22 +28,19 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def _counter(path: str, limit: int):
+def _counter(path: str, limit: int, special: str | None):
     def run(batches):
         t, known = _loaded.setdefault((path, "known"), (_tokenizer(path), Known()))
 
         def counted(words):
             return [len(x) for x in t.encode_batch_fast(words, add_special_tokens=False)]
-        for batch in batches:
-            for a, b in slices(batch, "text", CHUNK_BYTES):
-                part = batch.slice(a, b - a)
-                words, place, at = chunk(part)
-                value = np.array(known(words.to_pylist(), counted), np.int64)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                pair, copies = np.unique(doc * max(1, len(value)) + place, return_counts=True)  # frequencies by document
-                n = np.bincount(pair // max(1, len(value)), copies * value[pair % max(1, len(value))], len(at) - 1).astype(np.int64)
-                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), pa.array(n), pa.array(n > limit)],
-                                      ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        for part, words, place, at in chunks(batches, special):
+            value = np.array(known(words, counted), np.int64)
+            doc, many = np.repeat(np.arange(len(at) - 1), np.diff(at)), max(1, len(value))
+            pair, copies = np.unique(doc * many + place, return_counts=True)  # frequencies by document
+            n = np.bincount(pair // many, copies * value[pair % many], len(at) - 1).astype(np.int64)
+            yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), pa.array(n), pa.array(n > limit)],
+                                  ["doc_id", "n_bytes", "n_tokens", "over_limit"])
     return run
 
 
@@ -56,8 +52,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     added = [x["content"] for x in kind["added_tokens"]]
     if kind["pre_tokenizer"]["type"] != "ByteLevel" or kind["pre_tokenizer"]["add_prefix_space"] or len(added) > 1:
         raise ValueError("a byte-level pre-tokenizer without prefix space and one special string at most is expected")
-    return pieces(docs, added[0] if added else None).mapInArrow(
-        _counter(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows(docs).mapInArrow(
+        _counter(path, limit, added[0] if added else None), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
