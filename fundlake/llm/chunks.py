@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import give_back, slices, texts
 
 CHUNK_BYTES = 3_000_000
 KEPT = 200_000  # pre-tokens in each of the two tables of results that a worker keeps
@@ -80,3 +80,4 @@ def chunks(batches, special: str | None = None):
                 held = pieces(text.as_py(), special)
                 place.append(np.fromiter(map(seen.__getitem__, held), np.int64, len(held)))
             yield part, list(seen), np.concatenate(place), np.concatenate([[0], np.cumsum([len(x) for x in place])]).astype(np.int64)
+            give_back()

@@ -12,7 +12,9 @@ Conventions that hold for every operator:
 
 from __future__ import annotations
 
+import ctypes
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker serves many stages and would keep the most it took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run):
+    """``run``, a function over Arrow batches, that gives memory back when a task is over."""
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return tidied
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name made from ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

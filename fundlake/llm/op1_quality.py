@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spare, texts, utf8
+from .common import slices, spare, texts, tidy, utf8
 from .shingles import words
 
 MAX_DOCS, MAX_BYTES = 4000, 65_536
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
                                    pa.array([x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()),
                                    pa.array([n[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())],
                                   ["doc_id", "y", "x", "n"])
-    got = rows.mapInArrow(measured, "doc_id long, y int, x binary, n binary").orderBy("doc_id", "x").limit(2 * max_docs).collect()
+    got = rows.mapInArrow(tidy(measured), "doc_id long, y int, x binary, n binary").orderBy("doc_id", "x").limit(2 * max_docs).collect()
     return fit([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(np.float64) for r in got],
                [np.frombuffer(r.n, "<f4").astype(np.float64) for r in got], np.array([r.y for r in got]))
 
@@ -209,7 +209,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
                 yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(s),
                                        pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
     return texts(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+        tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,7 +221,7 @@ def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
                 s = score(model, *line_features(*utf8(part.column(name))))
                 yield part.filter(pa.array(s >= threshold)).drop_columns([name])
     name = spare(docs, "text")
-    return docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+    return docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(tidy(run), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import Known, chunks, rows
+from .common import tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PAIRS = 300_000  # pairs a worker remembers the outcome of
@@ -157,7 +158,7 @@ def _encoder(path: str):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every whole text."""
-    return rows(docs).mapInArrow(_encoder(path), "doc_id long, n_tokens long, ids binary")
+    return rows(docs).mapInArrow(tidy(_encoder(path)), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(ids: bytes, ranks: Ranks) -> bytes:
@@ -180,7 +181,7 @@ def _round_trip(path: str):
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them."""
-    return rows(docs).mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows(docs).mapInArrow(tidy(_round_trip(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import Known, chunks, rows
+from .common import tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -53,7 +54,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     if kind["pre_tokenizer"]["type"] != "ByteLevel" or kind["pre_tokenizer"]["add_prefix_space"] or len(added) > 1:
         raise ValueError("a byte-level pre-tokenizer without prefix space and one special string at most is expected")
     return rows(docs).mapInArrow(
-        _counter(path, limit, added[0] if added else None), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        tidy(_counter(path, limit, added[0] if added else None)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

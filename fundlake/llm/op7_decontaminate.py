@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spare, texts, utf8
+from .common import slices, spare, texts, tidy, utf8
 from .shingles import mix, spans, words
 
 SIZE, THRESHOLD, RADIUS = 5, 0.8, 20
@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     """One row for each document and benchmark item of which it has a window of similarity 0.8 or more:
     doc_id, text_crc32, item_id, similarity, distance, first_byte, end_byte (of the window in the text)."""
     rows = texts(docs).select("doc_id", F.crc32("text").alias("tag"), "text")
-    found = [rows.mapInArrow(_found(index), "doc_id long, text_crc32 long, item_id long, similarity double, distance int, first_byte long, end_byte long")
+    found = [rows.mapInArrow(tidy(_found(index)), "doc_id long, text_crc32 long, item_id long, similarity double, distance int, first_byte long, end_byte long")
              for index in indexes(benchmark, block_bytes)]
     return reduce(DataFrame.unionByName, found)
 
@@ -185,7 +185,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         return run
     out = docs
     for index in indexes(benchmark, block_bytes):
-        out = out.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(without(index), docs.schema)
+        out = out.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(tidy(without(index)), docs.schema)
     return out
 
 
