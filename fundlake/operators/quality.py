@@ -8,6 +8,8 @@ global aggregate; nothing is collected except the bounded per-rule counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +87,13 @@ def preflight_nonempty(tables: dict[str, DataFrame]) -> list[str]:
     return [name for name, df in tables.items() if df.limit(1).isEmpty()]
 
 
+def preflight(tables: dict[str, DataFrame]) -> DataFrame:
+    """D13 as rows: table_name and is_empty of each input; a check reads one row at most."""
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(1)).limit(1).agg(F.lit(name).alias("table_name"), (F.count(F.lit(1)) == 0).alias("is_empty"))
+        for name, df in tables.items()])
+
+
 def orphans(fact: DataFrame, dim: DataFrame, key: str | list[str]) -> DataFrame:
     """Fact rows whose key is missing from the dimension (anti join)."""
     keys = [key] if isinstance(key, str) else key

@@ -10,6 +10,7 @@ _MODULES = [
     "fundlake.plans.catalog_ops",
     "fundlake.plans.catalog_text",
     "fundlake.plans.catalog_rules",
+    "fundlake.plans.catalog_more",
     "fundlake.streaming.catalog_streams",
     "fundlake.sources.catalog_sources",
 ]
