@@ -374,10 +374,16 @@ def eval_numbers_in_range(spark, sf_dir):
                     F.coalesce(corpus.numbers_in_range(F.col("text"), 1, 100), F.lit(False)).alias("has_number_in_range"))
 
 
-@register("eval_trace_sample", None)
+@register("eval_trace_sample", "WITH " + _EVAL_SQL + """
+SELECT t.session_id, t.turn_index, t.role, a.category
+FROM (SELECT * FROM chat WHERE CAST('0x' || substr(md5(concat_ws('|', CAST(session_id AS VARCHAR), CAST(turn_index AS VARCHAR), role)), 1, 6) AS BIGINT) % 100 < 20) t
+LEFT JOIN (SELECT DISTINCT session_id, category FROM answers) a ON t.session_id = a.session_id""")
 def eval_trace_sample(spark, sf_dir):
-    """Seeded 20% sample of chat turns joined to the eval rows of the same session."""
-    t = chat_turns(spark, sf_dir).sample(fraction=0.2, seed=42)
+    """A 20% sample of chat turns joined to the eval rows of the same session; a turn's hash decides,
+    so the sample is the same on every cluster."""
+    bucket = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("session_id").cast("string"), F.col("turn_index").cast("string"),
+                                                  "role")), 1, 6), 16, 10).cast("bigint") % 100
+    t = chat_turns(spark, sf_dir).filter(bucket < 20)
     a = eval_answers(spark, sf_dir).select("session_id", "category").distinct()
     return t.join(a, "session_id", "left").select("session_id", "turn_index", "role", "category")
 

@@ -72,14 +72,15 @@ def source_csv_roster(spark: SparkSession, sf_dir: str):
                     F.col("fiscal_year").cast("string").alias("fiscal_year"))
 
 
-@register("source_file_listing", None)
+@register("source_file_listing", q("SELECT DISTINCT fiscal_year, true AS all_nonempty FROM s_allocation"))
 def source_file_listing(spark: SparkSession, sf_dir: str):
-    """Path-only listing of landed files (no file content read)."""
+    """Path-only listing of landed files (no file content read), by year folder."""
     m = Model(spark, sf_dir)
     dest = checkpoint_root(spark, "listing-csv")
     m.silver.coop_allocation.write.mode("overwrite").option("header", True).partitionBy("fiscal_year").csv(dest)
     ls = files.list_files(spark, f"{dest}/*/*.csv")
-    return ls.agg(F.count(F.lit(1)).alias("n_files"), F.min(F.col("length") > 0).alias("all_nonempty"))
+    return ls.groupBy(F.regexp_extract("path", "fiscal_year=([^/]+)/", 1).alias("fiscal_year")) \
+        .agg(F.min(F.col("length") > 0).alias("all_nonempty"))
 
 
 _DIRTY_JSON_SQL = f"""
