@@ -400,3 +400,20 @@ def test_chat_oracle_and_names(spark):
     want = con.sql(entry.oracle_sql()["op2_chat"]).fetchall()
     got = op2_chat.op2_chat(spark, SF).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_tidy_passes_batches_on_and_closes():
+    from fundlake.llm.common import tidy
+    seen = []
+
+    def run(batches):
+        try:
+            for b in batches:
+                yield b + 1
+        finally:
+            seen.append("closed")
+    assert list(tidy(run)([1, 2])) == [2, 3] and list(tidy(run)([])) == []
+    part = tidy(run)([1, 2])
+    next(part)
+    part.close()  # a limit ends a task early
+    assert seen == ["closed"] * 3
