@@ -1,6 +1,7 @@
 """Operator 5, embedding near-duplicates by a pivot-permutation index.
 
-A bounded sample of the distinct vectors serves as pivots.  Every vector is described by the ordered
+A bounded sample of the distinct vectors serves as pivots, less those with a cosine above ``APART`` to one
+kept: a dense group has few pivots, which its members share, and no more than that.  Every vector is described by the ordered
 list of its nearest pivots and entered in the inverted list of each.  Two vectors that share
 ``SHARED`` pivots or more are candidates; they are compared in the list of their first shared pivot,
 by cosine in double precision.  A list longer than ``BLOCK`` is cut into blocks and the block pairs are
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LAST, components, cut
-from .op4_jaccard import Forest
 
 PIVOTS, SPREAD = 4096, 50
 NEAREST, SHARED = 8, 2
+APART = 0.7
 BLOCK = 1024
 
 
@@ -34,6 +35,27 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _apart(pivots: np.ndarray, most: float) -> np.ndarray:
+    """The pivots, in their order, without those of a cosine above ``most`` to an earlier one that stays."""
+    far, kept = np.ones(len(pivots), bool), []
+    for k in range(len(pivots)):
+        if far[k]:
+            kept.append(k)
+            far &= pivots @ pivots[k] <= most
+    return pivots[kept]
+
+
+def _roots(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix the least row that it reaches."""
+    root = np.full(len(link), -1)
+    for k in range(len(link)):
+        reached = np.array([k]) if root[k] < 0 else np.zeros(0, np.int64)
+        while len(reached):
+            root[reached] = k
+            reached = np.flatnonzero(link[reached].any(0) & (root < 0))
+    return root
+
+
 def _describe(pivots: dict[int, np.ndarray], nearest: int):
     """A vector's rows, one for each of its nearest pivots; near has them in order."""
     def run(batches):
@@ -75,19 +97,15 @@ def _compared(threshold: float, nearest: int, shared: int):
         link &= before @ before.T == 0  # the pair belongs to the list of its first shared pivot
         if i != j:
             link &= block[:, None] != block
-        forest = Forest(len(ids))
         order = np.argsort(ids)
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        for a, b in zip(*np.nonzero(np.triu(link))):
-            forest.join(int(rank[a]), int(rank[b]))
-        root = ids[order][[forest.root(int(r)) for r in rank]]
+        root = np.empty(len(ids), np.int64)
+        root[order] = ids[order][_roots(link[np.ix_(order, order)])]
         return pa.table({"a": ids, "links": link @ n, "b": root})
     return run
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, pivots: int = PIVOTS, spread: int = SPREAD,
-                    nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+                    nearest: int = NEAREST, shared: int = SHARED, apart: float = APART) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST)).alias("vec"), F.col("embedding").cast("array<double>").alias("e"))
     good = F.coalesce(F.forall("e", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("e", lambda x: x != 0), F.lit(False))
@@ -102,7 +120,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, pivots: int =
     by_width: dict[int, list[bytes]] = {}
     for r in sample:
         by_width.setdefault(8 * len(r.e), []).append(np.array(r.e, "<f8").tobytes())
-    held = {w: _unit(v) for w, v in by_width.items()}
+    held = {w: _apart(_unit(v), apart) for w, v in by_width.items()}
 
     def packed(batches):
         for batch in batches:

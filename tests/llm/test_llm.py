@@ -258,6 +258,34 @@ def test_embeddings(spark, monkeypatch):
     assert op5_embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_dense_group(spark):
+    """A third of the vectors are distinct near copies of one: their links are found."""
+    r = np.random.default_rng(2)
+    v = r.normal(size=(3000, 64))
+    v[:1000] = r.normal(size=64) * 8 / 64 ** 0.5 + 0.25 * v[:1000]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    assert links[:1000].min() > 100
+    got = {x.vec_id: x for x in op5_embeddings.near_duplicates(df, spread=10).collect()}
+    assert all(got[k].n_links <= links[k] for k in got)
+    assert sum(x.n_links for x in got.values()) >= 0.99 * links.sum()
+    assert {got[k].component_id for k in range(1000)} == {0}
+
+
+def test_pivots_stand_apart_and_roots_are_least():
+    r = np.random.default_rng(3)
+    p = op5_embeddings._apart(op5_embeddings._unit([x.tobytes() for x in r.normal(size=(200, 4))]), 0.7)
+    near = p @ p.T
+    np.fill_diagonal(near, 0)
+    assert 1 < len(p) < 200 and near.max() <= 0.7
+    for _ in range(20):
+        link = r.random((30, 30)) < 0.02
+        link |= link.T
+        reach = np.linalg.matrix_power((link | np.eye(30, dtype=bool)).astype(float), 30) > 0
+        assert (op5_embeddings._roots(link) == reach.argmax(1)).all()
+
+
 def test_decontaminate(spark):
     items = [(1, " ".join(prose(31, 30))), (2, " ".join(prose(32, 12))), (3, "three words here"), (4, None), (5, "..."), (6, " ".join(prose(31, 30)))]
     near = prose(31, 30)
