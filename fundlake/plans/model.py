@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fundlake.plans import gold
 from fundlake.plans.oracle import AS_OF, HORIZON
@@ -68,17 +69,22 @@ class Model:
     def latest_snapshot(self):
         """D6 value: max(date_key) of the utilization source.  The computed source holds
         exactly one snapshot (``as_of``), so the maximum is that literal and the filter
-        costs nothing; a table-backed model would use a scalar subquery instead."""
-        from pyspark.sql import functions as F
+        costs nothing; a table-backed model uses a scalar subquery over its history."""
         if self.tables:
-            return self.utilization.agg(F.max("date_key")).scalar()
+            return self.utilization_history.agg(F.max("date_key")).scalar()
         return F.lit(self.as_of).cast("date")
 
     # gold facts
+    @cached_property
+    def utilization_history(self) -> DataFrame:
+        """All snapshots: a refresh folder keeps one a day, the computed source has one."""
+        return self._gold("fact_coop_utilization_daily") if self.tables else self.utilization
+
     @cached_property
     def utilization(self) -> DataFrame:
+        """The latest snapshot."""
         if self.tables:
-            return self._gold("fact_coop_utilization_daily")
+            return self.utilization_history.filter(F.col("date_key") == self.latest_snapshot())
         return gold.utilization(self.silver.coop_allocation, self.silver.coop_claim, self.as_of, self.horizon_days)
 
     @cached_property

@@ -35,3 +35,18 @@ def test_served_equals_computed(spark, refreshed, name):
     finally:
         spark.conf.unset(TABLES_CONF)
     assert a == b
+
+
+@pytest.fixture(scope="module")
+def refreshed_twice(spark):
+    out = tempfile.mkdtemp(prefix="fundlake-served-")
+    refresh(spark, SF_SMALL, out, as_of="2001-04-01")
+    refresh(spark, SF_SMALL, out)
+    return out
+
+
+@pytest.mark.parametrize("name", ["q_finance_home", "q_dealer_home", "forfeiture_yoy", "rule_extension_candidates", "top_dealers_by_region",
+                                  "q_region_home", "snapshot_change_feed"])
+def test_served_reads_the_latest_of_two_snapshots(spark, refreshed_twice, name):
+    assert spark.read.parquet(f"{refreshed_twice}/gold/fact_coop_utilization_daily").select("date_key").distinct().count() == 2
+    test_served_equals_computed(spark, refreshed_twice, name)
