@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -346,6 +347,20 @@ def test_suffixes(docs, monkeypatch, wide):
     assert kept.columns == docs.columns and kept.where("n_chars <> length(text)").count() == 0
 
 
+def test_windows_that_a_run_covers_are_dealt_to_all_buckets():
+    """A passage between differing neighbours: its smallest window is the same in every run."""
+    passage = " ".join(prose(9, 40))[:120]
+    rows = [{"doc": k, "tag": k, "text": f"{k:03d}" + passage + f"{k:03d}", "held": [{"start": 0, "off": 0, "n": 70, "wide": True}]} for k in range(300)]
+    kinds = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("text", pa.string()), ("held", pa.list_(pa.struct(
+        [("start", pa.int32()), ("off", pa.int32()), ("n", pa.int32()), ("wide", pa.bool_())])))])
+    many = Counter()
+    for batch in op8_suffixes._runs(16)([pa.RecordBatch.from_pylist(rows, kinds)]):
+        for r in batch.to_pylist():
+            if r["common"] is None:
+                many[r["bucket"]] += len(r["doc"])
+    assert sum(many.values()) >= 299 * 67 and len(many) == 16 and max(many.values()) < 2 * sum(many.values()) / 16
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=50, max_size=50), max_size=12), max_size=6), st.integers(0, 49))
 def test_loser_tree_merges(runs, same):
