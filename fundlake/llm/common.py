@@ -4,7 +4,7 @@ Conventions that hold for every operator:
 
 * Only the named input columns are selected, so extra columns (whatever their names) are ignored.
 * A null text counts as empty unless an operator says otherwise.
-* A row is identified by ``(doc_id, crc32(text))``; rows repeated exactly get equal results, rows
+* A row is identified by ``(doc_id, md5(text))`` and shown with ``crc32(text)``; rows repeated exactly get equal results, rows
   that share a doc_id but not the text are told apart.  A null doc_id orders after every other id.
 * Intermediate tables go to the folder in ``spark.checkpoint.dir`` (see ``fundlake.session``), so a
   lost executor recomputes from written files.
@@ -18,7 +18,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlake.session import checkpoint_root
@@ -81,9 +81,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, null last), tag (crc32 of the text) and text: a row's identity and its text."""
+    """doc (doc_id, null last), tag (crc32 of the text), mark (its md5) and text; doc and mark are a row's identity."""
     return texts(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"),
-                              F.crc32("text").alias("tag"), "text")
+                              F.crc32("text").alias("tag"), marked("text").alias("mark"), "text")
+
+
+def marked(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000):
