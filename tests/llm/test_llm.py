@@ -426,6 +426,21 @@ def test_licenses(spark):
     assert op10_licenses.scan_licenses(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+     "Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT "
+     "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License", "GPL-3.0 notice"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-ND 4.0. Licensed under CC BY 4.0.", "CC-BY-4.0 CC-BY-ND-4.0"), ("Licensed under CC BY-XX 4.0.", ""), ("Licensed under CC BY 3.0.", ""),
+    ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), (op10_licenses.TEMPLATES["BSD text"], "BSD text"),
+    *[(t, name) for name, t in op10_licenses.TEMPLATES.items() if "full" in name or "notice" in name],
+    (op10_licenses.TEMPLATES.get("BSD-3-Clause full", "").replace("copyright holder nor", "Regents nor"), "BSD-3-Clause full")])
+def test_licenses_are_told_apart(text, want):
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = op10_licenses.Scanner(op10_licenses.TEMPLATES, 0.8).scan(data, np.array([0, len(data)]))[0]
+    assert " ".join(sorted(f[2] for f in found)) == want
+
+
 def test_increasing_is_longest():
     r = random.Random(5)
     for _ in range(50):
