@@ -6,9 +6,10 @@ shingles) wherever a document has a shingle of that item: a window without any h
 items' fingerprints lie in a multi-index of eight byte blocks; of two fingerprints within ``RADIUS`` one
 block differs in ``RADIUS // 8`` bits at most, so probing all bytes that near finds every item within
 the radius.  Candidates are verified by exact weighted Jaccard similarity of the shingle multisets; a
-shingle's weight is the inverse of the number of items that have it.
+shingle's weight is the inverse of the number of items that have it, counted over the whole benchmark.
 
-The benchmark goes through in blocks of bounded bytes, one pass over the documents each.  Defined results: null or word-less items and texts match nothing; a document shorter than an item is
+The benchmark goes through the driver in blocks of bounded bytes, one pass over the documents each; every pass
+holds its block's index and the counts of all shingles that several items have.  Defined results: null or word-less items and texts match nothing; a document shorter than an item is
 one window; repeated documents each get rows; repeated items each match; a null doc_id keeps its rows; of
 several windows the most similar, then the first, is told; empty tables give no rows.
 """
@@ -57,10 +58,29 @@ def similarity(a: Counter, b: Counter, weight) -> float:
     return both / (sum(n * weight(x) for x, n in a.items()) + sum(n * weight(x) for x, n in b.items()) - both)
 
 
+def _shingled(batches):
+    """text -> h, the distinct shingles of each item."""
+    for batch in batches:
+        out = []
+        for text in batch.column("text").to_pylist():
+            data = np.frombuffer(text.encode(), np.uint8)
+            h = words(folded(data), np.array([0, len(data)]), _SIGNS)[0]
+            out.append(np.unique(spans(h, min(SIZE, len(h)))).view(np.int64) if len(h) else [])
+        yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], ["h"])
+
+
+def shared_shingles(benchmark: DataFrame) -> dict[int, int]:
+    """The shingles that several items have, and how many."""
+    held = benchmark.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_shingled, "h array<long>")
+    return {h & 2**64 - 1: n for h, n in held.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1").toLocalIterator()}
+
+
 class Items:
-    """The index of a block of items: shingle postings, weights, fingerprints and their blocks."""
+    """The index of a block of items: shingle postings, weights, fingerprints and their blocks.
+    ``shared``: number of items of each shingle that several items of the benchmark have; by default
+    these items are all."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], shared: dict[int, int] | None = None):
         self.id, self.size, self.words, self.bag = [], [], [], []
         postings = defaultdict(list)
         for i, text in rows:
@@ -77,7 +97,7 @@ class Items:
             self.words.append(len(h))
             self.bag.append(Counter(run))
         self.postings = dict(postings)
-        self.weight = {x: 1 / len({k for k, _ in at}) for x, at in postings.items()}
+        self.shared = {x: len({k for k, _ in at}) for x, at in postings.items()} if shared is None else shared
         self.known = {s: np.array(sorted({x for k, b in enumerate(self.bag) if self.size[k] == s for x in b}), np.uint64)
                       for s in set(self.size)}
         self.print = [self._print(list(b.elements())) for b in self.bag]
@@ -87,7 +107,7 @@ class Items:
                 self.block[b][p >> 8 * b & 255].add(k)
 
     def _weight(self, x: int) -> float:
-        return self.weight.get(x, 1.0)
+        return 1 / self.shared.get(x, 1)
 
     def _print(self, run: list[int]) -> int:
         return fingerprint(np.array(run, np.uint64), np.array([self._weight(x) for x in run]))
@@ -151,14 +171,15 @@ def _found(index: Items):
 def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     """The benchmark's items in blocks of bounded bytes, each as an index; one at least."""
     held, size, some = [], 0, False
+    shared = shared_shingles(benchmark)
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         held.append((r[0], r[1]))
         size += len(r[1] or "")
         if size >= block_bytes:
-            yield Items(held)
+            yield Items(held, shared)
             held, size, some = [], 0, True
     if held or not some:
-        yield Items(held)
+        yield Items(held, shared)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -306,6 +306,17 @@ def test_decontaminate(spark):
     assert op7_decontaminate.contaminated(d.limit(0), bench).count() == 0
 
 
+def test_blocks_of_the_benchmark_do_not_change_the_result(spark):
+    """Items with a long passage in common: a window without an item's own part is not like it."""
+    common, own = prose(40, 60), [prose(41 + k, 20) for k in range(4)]
+    items = [(k, " ".join(common + w)) for k, w in enumerate(own)]
+    texts_ = [(0, items[0][1]), (1, " ".join(common + own[1][:10] + ["changed"] + own[1][11:])), (2, " ".join(common[:30] + ["changed"] + common[31:] + own[2]))]
+    d = spark.createDataFrame(texts_, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [{(r.doc_id, r.item_id): (round(r.similarity, 9), r.distance) for r in op7_decontaminate.contaminated(d, bench, block).collect()} for block in (8_000_000, 100)]
+    assert got[0] == got[1] and set(got[0]) == {(0, 0), (2, 2)}
+
+
 def test_multi_index_finds_all_within_radius():
     index = op7_decontaminate.Items([(k, " ".join(prose(k, 20))) for k in range(60)])
     r = random.Random(6)
