@@ -1,386 +1,146 @@
-"""As-of join -- for each fact row, the latest tick (rate) of the same key at or
-before the fact's time.
-
-Spark has no as-of join operator.  A window ``last(ignoreNulls)`` partitioned by the
-key puts a hot key (one currency holding a third of all rows) in one task, and a
-range join emits all pairs.  Instead:
-
-1. facts and ticks are unioned and range-partitioned on (key, time), then sorted
-   within partitions (ticks before facts at equal times), so a hot key is split
-   across several partitions by time range;
-2. one summary row per partition (first key, last key, last tick of the last key) is
-   computed by ``mapInPandas``; the summary is bounded by the partition count, so it
-   is collected and the carry-in of every partition (the latest tick of its first key
-   in earlier partitions) is resolved on the driver;
-3. a second ``mapInPandas`` pass forward-fills ticks per key inside each partition,
-   starting from the carry-in.
-
-The sorted union is persisted between the two passes (recomputable from lineage if
-an executor is lost).
+"""Windows over a key that one task could not hold.
+
+``lag``, ``lead``, ``row_number`` and ``last(ignorenulls)`` partitioned by a key put a key with a
+third of all rows in one task.  Here the rows are range-partitioned on (keys, order), each range is
+stamped with its number, and the same window functions run inside (range, keys).  What they lack is
+known from the rows next to a range's borders: a carry table holds one row for a range's first key
+and one for its last, is completed by windows over at most one row a range, and is joined back (at
+most two rows a range, so it is broadcast).  The stamped rows are written under
+``spark.checkpoint.dir`` before the carry table and the result read them: both see the same ranges,
+and a lost executor reads the files again.
+
+Null keys form a key of their own.  ``order`` must tell the rows of a key apart where the result
+depends on it; rows equal in keys and order stand in one range.  Extra columns pass through.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def asof_latest(facts: DataFrame, ticks: DataFrame, key: str, ts: str, fact_cols: list[str],
-                tick_cols: list[str], n_partitions: int | None = None) -> DataFrame:
-    """Facts with the ``tick_cols`` (and ``tick_ts``) of the latest tick with the same key and
-    tick time <= fact time; NULL when no earlier tick exists."""
-    spark = facts.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fschema = {f.name: f.dataType for f in facts.schema.fields}
-    tschema = {f.name: f.dataType for f in ticks.schema.fields}
-    f = facts.select(key, ts, *fact_cols, F.lit(0).alias("_is_tick"),
-                     *[F.lit(None).cast(tschema[c]).alias(f"_t_{c}") for c in tick_cols])
-    t = ticks.select(key, ts, *[F.lit(None).cast(fschema[c]).alias(c) for c in fact_cols], F.lit(1).alias("_is_tick"),
-                     *[F.col(c).alias(f"_t_{c}") for c in tick_cols])
-    # the range partition index is stamped as a column right after the exchange: inside a
-    # larger plan (a union) the task's partition index is not the range partition's
-    u = (f.unionByName(t).repartitionByRange(n, key, ts)
-         .sortWithinPartitions(key, ts, F.desc("_is_tick")).withColumn("_pid", F.spark_partition_id()))
-    u = u.persist(StorageLevel.MEMORY_AND_DISK)
-    tcols = [f"_t_{c}" for c in tick_cols]
-    key_type = fschema[key]
-
-    summary_schema = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("first_key", key_type),
-                                   T.StructField("last_key", key_type), T.StructField("has_tick", T.BooleanType()),
-                                   T.StructField("tick_ts", tschema[ts])]
-                                  + [T.StructField(c, tschema[c[3:]]) for c in tcols])
-
-    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = None
-        first = last = None
-        tick = None
-        for b in batches:
-            if not len(b):
-                continue
-            pid = int(b["_pid"].iloc[0])
-            if first is None:
-                first = b[key].iloc[0]
-            last_key = b[key].iloc[-1]
-            if last_key != last:
-                tick = None
-            last = last_key
-            tk = b[(b["_is_tick"] == 1) & (b[key] == last)]
-            if len(tk):
-                tick = tk.iloc[-1]
-        if first is None:
-            return
-        row = {"pid": [pid], "first_key": [first], "last_key": [last], "has_tick": [tick is not None],
-               "tick_ts": [tick[ts] if tick is not None else None]}
-        for c in tcols:
-            row[c] = [tick[c] if tick is not None else None]
-        yield pd.DataFrame(row)
-
-    summary = sorted(u.mapInPandas(summarize, summary_schema).collect(), key=lambda r: r.pid)  # one row per partition
-    carry: dict[int, tuple] = {}
-    for i, r in enumerate(summary):
-        val = None
-        for q in reversed(summary[:i]):  # contiguous partitions ending with this key
-            if q.last_key != r.first_key:
-                break
-            if q.has_tick:
-                val = (q.tick_ts, *[q[c] for c in tcols])
-                break
-            if q.first_key != q.last_key:
-                break
-        carry[r.pid] = val
-
-    out_schema = T.StructType([T.StructField(key, key_type), T.StructField(ts, fschema[ts])]
-                              + [T.StructField(c, fschema[c]) for c in fact_cols]
-                              + [T.StructField("tick_ts", tschema[ts])]
-                              + [T.StructField(c, tschema[c]) for c in tick_cols])
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, cur = None, None
-        first_seen = False
-        for b in batches:
-            if not len(b):
-                continue
-            pid = int(b["_pid"].iloc[0])
-            out_rows = {c: [] for c in out_schema.fieldNames()}
-            keys = b[key].tolist()
-            is_tick = b["_is_tick"].tolist()
-            tvals = [b[c].tolist() for c in tcols]
-            tss = b[ts].tolist()
-            fvals = [b[c].tolist() for c in fact_cols]
-            for i in range(len(b)):
-                k = keys[i]
-                if k != cur_key:
-                    cur_key = k
-                    cur = carry.get(pid) if not first_seen else None
-                    first_seen = True
-                if is_tick[i] == 1:
-                    cur = (tss[i], *[tv[i] for tv in tvals])
-                    continue
-                out_rows[key].append(k)
-                out_rows[ts].append(tss[i])
-                for c, fv in zip(fact_cols, fvals):
-                    out_rows[c].append(fv[i])
-                out_rows["tick_ts"].append(cur[0] if cur else None)
-                for j, c in enumerate(tick_cols):
-                    out_rows[c].append(cur[j + 1] if cur else None)
-            if out_rows[key]:
-                yield pd.DataFrame(out_rows)
+from fundlake.session import materialize
 
-    return u.mapInPandas(fill, out_schema)
+_PART, _ROW, _LAST = "__part", "__row", "__last"
 
 
-def asof_k(facts: DataFrame, ticks: DataFrame, keys: list[str], order: str, fact_cols: list[str],
-           tick_cols: list[str], k: int, forward: bool = False, n_partitions: int | None = None) -> DataFrame:
-    """For each fact, up to ``k`` ticks of the same keys nearest to it in ``order``: the last
-    ``k`` with tick order <= fact order (``forward=False``) or the first ``k`` with tick order
-    > fact order (``forward=True``).  One output row per (fact, tick) with ``tick_rank``
-    (1 = nearest).  Same plan as ``asof_latest``: range partitions on (keys, order), a
-    one-row-per-partition summary (the last ``k`` ticks of the partition's last key)
-    resolved into carry-ins on the driver, then a per-partition fill."""
-    import base64
-    import pickle
-    from collections import deque
+def _ranges(df: DataFrame, keys: list[str], order: list[Column], n_partitions: int | None,
+            **within) -> DataFrame:
+    """``df`` written with the number of its range, the place of each row among the range's rows of
+    its key, a mark on the last of them, and ``within`` (name -> function of the window)."""
+    n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the stamp stands right above the exchange, where the task's number is the range's
+    x = df.repartitionByRange(n, *keys, *order).withColumn(_PART, F.spark_partition_id())
+    w = Window.partitionBy(_PART, *keys).orderBy(*order)
+    return materialize(x.select("*", F.row_number().over(w).cast("long").alias(_ROW),
+                                F.lead(F.lit(True)).over(w).isNull().alias(_LAST),
+                                *[f(w).alias(name) for name, f in within.items()]), "ranges")
 
-    spark = facts.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fschema = {f.name: f.dataType for f in facts.schema.fields}
-    tschema = {f.name: f.dataType for f in ticks.schema.fields}
-    f = facts.select(*keys, order, *fact_cols, F.lit(0).alias("_is_tick"),
-                     *[F.lit(None).cast(tschema[c]).alias(f"_t_{c}") for c in tick_cols])
-    t = ticks.select(*keys, order, *[F.lit(None).cast(fschema[c]).alias(c) for c in fact_cols],
-                     F.lit(1).alias("_is_tick"), *[F.col(c).alias(f"_t_{c}") for c in tick_cols])
-    o = F.desc(order) if forward else F.asc(order)
-    # backward: ticks before facts at equal order (inclusive); forward: facts first (exclusive)
-    tie = F.asc("_is_tick") if forward else F.desc("_is_tick")
-    u = (f.unionByName(t).repartitionByRange(n, *[F.asc(c) for c in keys], o)
-         .sortWithinPartitions(*keys, o, tie).withColumn("_pid", F.spark_partition_id())
-         ).persist(StorageLevel.MEMORY_AND_DISK)
-    tcols = [f"_t_{c}" for c in tick_cols]
 
-    def summarize(batches):
-        pid = None
-        first = last = None
-        buf: deque = deque(maxlen=k)
-        for b in batches:
-            if not len(b):
-                continue
-            pid = int(b["_pid"].iloc[0])
-            kk = list(zip(*[b[c].tolist() for c in keys]))
-            isk = b["_is_tick"].tolist()
-            vals = list(zip(b[order].tolist(), *[b[c].tolist() for c in tcols]))
-            for i, key in enumerate(kk):
-                if first is None:
-                    first = key
-                if key != last:
-                    buf = deque(maxlen=k)
-                    last = key
-                if isk[i] == 1:
-                    buf.append(vals[i])
-        if first is None:
-            return
-        blob = base64.b64encode(pickle.dumps((first, last, list(buf)))).decode()
-        yield pd.DataFrame({"pid": [pid], "blob": [blob]})
+def _edges(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The first and the last row of each range's first and last key."""
+    key = F.struct(*keys)
+    ends = rows.groupBy(_PART).agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
+    return (rows.where(F.col(_LAST) | (F.col(_ROW) == 1)).join(F.broadcast(ends), _PART)
+            .where(key.eqNullSafe(F.col("__low")) | key.eqNullSafe(F.col("__high"))))
 
-    summ = u.mapInPandas(summarize, "pid int, blob string").collect()  # one row per partition
-    parts = sorted((r.pid, *pickle.loads(base64.b64decode(r.blob))) for r in summ)
-    carry: dict[int, list] = {}
-    for i, (pid, first, last, buf) in enumerate(parts):
-        acc: list = []
-        for q in reversed(parts[:i]):
-            _, q_first, q_last, q_buf = q
-            if q_last != first:
-                break
-            acc = list(q_buf) + acc
-            if len(acc) >= k or q_first != q_last:
-                break
-        carry[pid] = acc[-k:]
 
-    out_schema = T.StructType([T.StructField(c, fschema[c]) for c in keys] + [T.StructField(order, fschema[order])]
-                              + [T.StructField(c, fschema[c]) for c in fact_cols]
-                              + [T.StructField(f"tick_{order}", tschema[order])]
-                              + [T.StructField(c, tschema[c]) for c in tick_cols]
-                              + [T.StructField("tick_rank", T.IntegerType())])
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the carry columns of their range and key; at most two rows a range are broadcast."""
+    c = carry.select(F.col(_PART).alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                     *[x for x in carry.columns if x not in (_PART, *keys)])
+    same = reduce(Column.__and__, [rows[k].eqNullSafe(c[f"__k{i}"]) for i, k in enumerate(keys)],
+                  rows[_PART] == c["__p"])
+    return rows.join(F.broadcast(c), same, "left").drop("__p", *[f"__k{i}" for i in range(len(keys))])
 
-    def fill(batches):
-        cur_key = None
-        buf: deque = deque(maxlen=k)
-        first_seen = False
-        for b in batches:
-            if not len(b):
-                continue
-            pid = int(b["_pid"].iloc[0])
-            out = {c: [] for c in out_schema.fieldNames()}
-            kk = list(zip(*[b[c].tolist() for c in keys]))
-            isk = b["_is_tick"].tolist()
-            ords = b[order].tolist()
-            tv = [b[c].tolist() for c in tcols]
-            fv = [b[c].tolist() for c in fact_cols]
-            for i, key in enumerate(kk):
-                if key != cur_key:
-                    cur_key = key
-                    buf = deque(carry.get(pid, []) if not first_seen else [], maxlen=k)
-                    first_seen = True
-                if isk[i] == 1:
-                    buf.append((ords[i], *[x[i] for x in tv]))
-                    continue
-                for rank, tick in enumerate(reversed(buf), start=1):
-                    for j, c in enumerate(keys):
-                        out[c].append(key[j])
-                    out[order].append(ords[i])
-                    for c, x in zip(fact_cols, fv):
-                        out[c].append(x[i])
-                    out[f"tick_{order}"].append(tick[0])
-                    for j, c in enumerate(tick_cols):
-                        out[c].append(tick[j + 1])
-                    out["tick_rank"].append(rank)
-            if out["tick_rank"]:
-                yield pd.DataFrame(out)
 
-    return u.mapInPandas(fill, out_schema)
+def _before(keys: list[str]):
+    """The ranges before this one that have rows of the key."""
+    return Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def positions(df: DataFrame, keys: list[str], order: list, col: str = "pos",
               n_partitions: int | None = None) -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` without putting a key's rows
-    in one task: range partitions on (keys, order), a one-row-per-partition summary of the
-    boundary key's row count gives each partition its starting offset, and ``mapInPandas``
-    numbers the rows.  ``order`` must be a total order within a key."""
-    spark = df.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    u = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-         .withColumn("_pid", F.spark_partition_id())).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def summarize(batches):
-        import base64
-        import pickle
-        pid = first = last = None
-        n_last = 0
-        single = True
-        for b in batches:
-            if not len(b):
-                continue
-            pid = int(b["_pid"].iloc[0])
-            for key in zip(*[b[c].tolist() for c in keys]):
-                if first is None:
-                    first = key
-                if key != last:
-                    if last is not None:
-                        single = False
-                    last, n_last = key, 0
-                n_last += 1
-        if pid is not None:
-            yield pd.DataFrame({"pid": [pid], "blob": [base64.b64encode(pickle.dumps((first, last, n_last, single)))
-                                                      .decode()]})
-
-    import base64
-    import pickle
-    parts = sorted((r.pid, *pickle.loads(base64.b64decode(r.blob)))
-                   for r in u.mapInPandas(summarize, "pid int, blob string").collect())  # one row per partition
-    offset: dict[int, int] = {}
-    for i, (pid, first, _last, _n, _single) in enumerate(parts):
-        acc = 0
-        for q_pid, q_first, q_last, q_n, q_single in reversed(parts[:i]):
-            if q_last != first:
-                break
-            acc += q_n
-            if not q_single:
-                break
-        offset[pid] = acc
-
-    out_schema = T.StructType(df.schema.fields + [T.StructField(col, T.LongType())])
-
-    def number(batches):
-        cur, k = None, 0
-        started = False
-        for b in batches:
-            if not len(b):
-                continue
-            pid = int(b["_pid"].iloc[0])
-            pos = []
-            for key in zip(*[b[c].tolist() for c in keys]):
-                if key != cur:
-                    k = offset.get(pid, 0) if not started else 0
-                    cur = key
-                    started = True
-                k += 1
-                pos.append(k)
-            out = b.drop(columns=["_pid"])
-            out[col] = pos
-            yield out
-
-    return u.mapInPandas(number, out_schema)
+    """``row_number() over (partition by keys order by order)`` as column ``col`` (from 1)."""
+    rows = _ranges(df, keys, order, n_partitions)
+    held = _edges(rows, keys).where(F.col(_LAST)).select(_PART, *keys, F.col(_ROW).alias("__n"))
+    carry = held.select(_PART, *keys, F.sum("__n").over(_before(keys)).alias("__off"))
+    return _with_carry(rows, carry, keys).select(
+        *df.columns, (F.col(_ROW) + F.coalesce("__off", F.lit(0))).alias(col))
 
 
 def neighbors(df: DataFrame, keys: list[str], order: list, lag_cols: list[str] = (), lead_cols: list[str] = (),
               prev_prefix: str = "prev_", next_prefix: str = "next_", n_partitions: int | None = None) -> DataFrame:
-    """``lag(c)`` / ``lead(c)`` over (partition by keys order by order) without a per-key
-    window: range partitions on (keys, order); a one-row-per-partition summary (first and
-    last row) supplies the neighbour across each partition boundary; each partition is
-    then shifted in pandas.  ``order`` must be a total order within a key."""
-    import base64
-    import pickle
-    spark = df.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    u = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-         .withColumn("_pid", F.spark_partition_id())).persist(StorageLevel.MEMORY_AND_DISK)
-    lag_cols, lead_cols = list(lag_cols), list(lead_cols)
-
-    def summarize(batches):
-        pid = first = last = None
-        for b in batches:
-            if not len(b):
-                continue
-            pid = int(b["_pid"].iloc[0])
-            if first is None:
-                r0 = b.iloc[0]
-                first = (tuple(r0[c] for c in keys), tuple(r0[c] for c in lead_cols))
-            r1 = b.iloc[-1]
-            last = (tuple(r1[c] for c in keys), tuple(r1[c] for c in lag_cols))
-        if pid is not None:
-            yield pd.DataFrame({"pid": [pid], "blob": [base64.b64encode(pickle.dumps((first, last))).decode()]})
+    """``lag(c)`` / ``lead(c)`` over (partition by keys order by order) as ``prev_c`` / ``next_c``."""
+    def shifted(f, c):
+        return lambda w: f(c).over(w)
+    within = {f"__lag{i}": shifted(F.lag, c) for i, c in enumerate(lag_cols)} \
+        | {f"__lead{i}": shifted(F.lead, c) for i, c in enumerate(lead_cols)}
+    rows = _ranges(df, keys, order, n_partitions, **within)
+    # a struct never is null itself, so a carried null differs from no neighbour
+    first, last = F.struct(F.lit(1), *lead_cols), F.struct(F.lit(1), *lag_cols)
+    held = (_edges(rows, keys).groupBy(_PART, *keys)
+            .agg(F.first(F.when(F.col(_ROW) == 1, first), ignorenulls=True).alias("__first"),
+                 F.first(F.when(F.col(_LAST), last), ignorenulls=True).alias("__end")))
+    w = Window.partitionBy(*keys).orderBy(_PART)
+    carry = held.select(_PART, *keys, F.lag("__end").over(w).alias("__before"), F.lead("__first").over(w).alias("__after"))
+    prev = [F.when(F.col(_ROW) == 1, F.col(f"__before.{c}")).otherwise(F.col(f"__lag{i}")).alias(prev_prefix + c)
+            for i, c in enumerate(lag_cols)]
+    after = [F.when(F.col(_LAST), F.col(f"__after.{c}")).otherwise(F.col(f"__lead{i}")).alias(next_prefix + c)
+             for i, c in enumerate(lead_cols)]
+    return _with_carry(rows, carry, keys).select(*df.columns, *prev, *after)
+
+
+def _merged(facts: DataFrame, ticks: DataFrame, keys: list[str], order: str, fact_cols: list[str],
+            tick_cols: list[str]) -> tuple[DataFrame, list[Column]]:
+    """Facts (``__tick`` null) and ticks (their columns and order in ``__tick``) in one table, and its
+    order: at equal ``order`` ticks come first, among themselves by their columns."""
+    tick = F.struct(F.col(order).alias("__at"), *tick_cols)
+    kind = ticks.select(tick.alias("t")).schema["t"].dataType
+    f = facts.select(*keys, order, F.struct(F.lit(0).alias("__fact"), *fact_cols).alias("__f"), F.lit(None).cast(kind).alias("__tick"))
+    shape = f.schema["__f"].dataType
+    t = ticks.select(*keys, order, F.lit(None).cast(shape).alias("__f"), tick.alias("__tick"))
+    return f.unionByName(t), [F.asc(order), F.asc(F.col("__tick").isNull()), F.asc("__tick"), F.asc("__f")]
 
-    parts = sorted((r.pid, *pickle.loads(base64.b64decode(r.blob)))
-                   for r in u.mapInPandas(summarize, "pid int, blob string").collect())  # one row per partition
-    carry_prev: dict[int, tuple] = {}
-    carry_next: dict[int, tuple] = {}
-    for i, (pid, first, last) in enumerate(parts):
-        if i > 0 and parts[i - 1][2][0] == first[0]:
-            carry_prev[pid] = parts[i - 1][2][1]
-        if i + 1 < len(parts) and parts[i + 1][1][0] == last[0]:
-            carry_next[pid] = parts[i + 1][1][1]
 
-    types = {f.name: f.dataType for f in df.schema.fields}
-    out_schema = T.StructType(df.schema.fields
-                              + [T.StructField(prev_prefix + c, types[c]) for c in lag_cols]
-                              + [T.StructField(next_prefix + c, types[c]) for c in lead_cols])
-
-    def shift(batches):
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        p = pd.concat(frames, ignore_index=True)   # one range partition (sized by n)
-        pid = int(p["_pid"].iloc[0])
-        same_prev = pd.Series(True, index=p.index)
-        same_next = pd.Series(True, index=p.index)
-        for c in keys:
-            same_prev &= p[c].shift(1) == p[c]
-            same_next &= p[c].shift(-1) == p[c]
-        out = p.drop(columns=["_pid"])
-        for j, c in enumerate(lag_cols):
-            s = p[c].astype(object).shift(1).where(same_prev, None)
-            if pid in carry_prev:
-                s.iloc[0] = carry_prev[pid][j]
-            out[prev_prefix + c] = s
-        for j, c in enumerate(lead_cols):
-            s = p[c].astype(object).shift(-1).where(same_next, None)
-            if pid in carry_next:
-                s.iloc[-1] = carry_next[pid][j]
-            out[next_prefix + c] = s
-        yield out
-
-    return u.mapInPandas(shift, out_schema)
+def asof_latest(facts: DataFrame, ticks: DataFrame, key: str, ts: str, fact_cols: list[str],
+                tick_cols: list[str], n_partitions: int | None = None) -> DataFrame:
+    """Facts with the ``tick_cols`` (and ``tick_ts``) of the latest tick with the same key and
+    tick time <= fact time; NULL when no earlier tick exists."""
+    u, order = _merged(facts, ticks, [key], ts, fact_cols, tick_cols)
+    rows = _ranges(u, [key], order, n_partitions, __seen=lambda w: F.last("__tick", ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = _edges(rows, [key]).where(F.col(_LAST)).select(_PART, key, F.col("__seen").alias("__s"))
+    carry = held.select(_PART, key, F.last("__s", ignorenulls=True).over(_before([key])).alias("__carried"))
+    out = _with_carry(rows.where(F.col("__f").isNotNull()), carry, [key])
+    found = out.withColumn("__t", F.coalesce("__seen", "__carried"))
+    return found.select(key, ts, *[F.col(f"__f.{c}").alias(c) for c in fact_cols], F.col("__t.__at").alias("tick_ts"),
+                        *[F.col(f"__t.{c}").alias(c) for c in tick_cols])
+
+
+def nearest(facts: DataFrame, ticks: DataFrame, keys: list[str], order: str, fact_cols: list[str],
+            tick_cols: list[str], k: int, n_partitions: int | None = None) -> DataFrame:
+    """For each fact the last ``k`` ticks of the same keys at or before its ``order`` and the first ``k``
+    after it: one row for each fact and tick, with ``tick_offset`` (0 the last at or before, -1 the one
+    before it; 1 the first after).
+
+    One pass numbers the ticks of a key and tells each fact how many lie at or before it; the ticks are
+    then found by an equi-join on (keys, number), 2k rows a fact."""
+    u, by = _merged(facts, ticks, keys, order, fact_cols, tick_cols)
+    rows = _ranges(u, keys, by, n_partitions, __seen=lambda w: F.count("__tick").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = _edges(rows, keys).where(F.col(_LAST)).select(_PART, *keys, F.col("__seen").alias("__s"))
+    carry = held.select(_PART, *keys, F.sum("__s").over(_before(keys)).alias("__carried"))
+    numbered = _with_carry(rows, carry, keys).withColumn("__n", F.col("__seen") + F.coalesce("__carried", F.lit(0)))
+    wanted = (numbered.where(F.col("__f").isNotNull())
+              .select(*keys, order, "__f", "__n", F.explode(F.sequence(F.lit(1 - k), F.lit(k))).alias("tick_offset"))
+              .withColumn("__want", F.col("__n") + F.col("tick_offset")).where("__want > 0"))
+    held_ticks = numbered.where(F.col("__f").isNull()).select(
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.col("__n").alias("__have"), F.col("__tick").alias("__t"))
+    same = reduce(Column.__and__, [wanted[c].eqNullSafe(held_ticks[f"__k{i}"]) for i, c in enumerate(keys)],
+                  wanted["__want"] == held_ticks["__have"])
+    return wanted.join(held_ticks, same).select(
+        *keys, order, *[F.col(f"__f.{c}").alias(c) for c in fact_cols], F.col("__t.__at").alias(f"tick_{order}"),
+        *[F.col(f"__t.{c}").alias(c) for c in tick_cols], "tick_offset")

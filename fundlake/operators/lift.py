@@ -17,7 +17,7 @@ Plan shape (no pairwise expansion)
   ``k`` smallest dealer ids can ever be chosen (WindowGroupLimit keeps them), so
   the candidates of a treated row are the controls of the ``k`` nearest distinct
   base values at or below and the ``k`` nearest above -- at most 2k^2 rows, found
-  by two as-of passes over range partitions (no per-cell window).
+  by one pass over range partitions (no per-cell window).
 """
 
 from __future__ import annotations
@@ -70,11 +70,11 @@ def matched_pairs(dm: DataFrame, k: int = K_CONTROLS) -> DataFrame:
     Candidates without pairs and without per-cell windows: only the ``k`` smallest
     dealer ids per (cell, base value) can be chosen (WindowGroupLimit keeps them);
     the ``k`` nearest distinct control values at or below and above each treated base
-    come from two as-of passes (``asof_k``) over range partitions, so a cell holding a
+    come from one pass over range partitions (``asof.nearest``), so a cell holding a
     third of all rows is split across tasks; the candidates (<= 2k values x k
     controls) are ranked by (distance, dealer id).
     """
-    from fundlake.operators.asof import asof_k
+    from fundlake.operators.asof import nearest
     cell = ["region", "tier", "month"]
     t = dm.filter("treated").select(*cell, F.col("dealer_id").alias("t_dealer"), F.col("base_revenue").alias("x"))
     c = dm.filter(~F.col("treated")).select(*cell, F.col("dealer_id").alias("c_dealer"),
@@ -83,9 +83,7 @@ def matched_pairs(dm: DataFrame, k: int = K_CONTROLS) -> DataFrame:
     wb = Window.partitionBy(*cell, "v").orderBy("c_dealer")
     c = c.withColumn("rk", F.row_number().over(wb)).filter(F.col("rk") <= k).drop("rk")
     vals = c.select(*cell, F.col("v").alias("x")).distinct().withColumn("v", F.col("x"))
-    below = asof_k(t, vals, cell, "x", ["t_dealer"], ["v"], k, forward=False)
-    above = asof_k(t, vals, cell, "x", ["t_dealer"], ["v"], k, forward=True)
-    near = below.unionByName(above).select(*cell, "t_dealer", F.col("x").alias("t_base"), "v")
+    near = nearest(t, vals, cell, "x", ["t_dealer"], ["v"], k).select(*cell, "t_dealer", F.col("x").alias("t_base"), "v")
     cand = near.join(c, cell + ["v"]).withColumn("dist", F.abs(F.col("v") - F.col("t_base")))
     wr = Window.partitionBy(*cell, "t_dealer").orderBy("dist", "c_dealer")
     return (cand.withColumn("match_rank", F.row_number().over(wr)).filter(F.col("match_rank") <= k)

@@ -180,11 +180,7 @@ def test_asof_latest_hot_key_across_partitions(spark):
         ticks.append((k, base + dt.timedelta(minutes=rnd.randint(0, 5000)), 1000 + j, D(f"{j}.50")))
     fdf = spark.createDataFrame(facts, "k string, ts timestamp, fid int")
     tdf = spark.createDataFrame(ticks, "k string, ts timestamp, tid int, rate decimal(12,2)")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # state across batch boundaries
-    try:
-        got = {r.fid: (r.tid, r.rate) for r in asof_latest(fdf, tdf, "k", "ts", ["fid"], ["tid", "rate"], 13).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.fid: (r.tid, r.rate) for r in asof_latest(fdf, tdf, "k", "ts", ["fid"], ["tid", "rate"], 13).collect()}
     exp = {}
     for k, t, fid in facts:
         c = [x for x in ticks if x[0] == k and x[1] <= t]
@@ -200,11 +196,7 @@ def test_positions_equal_row_number(spark):
     rows = [("HOT" if i % 5 else rnd.choice(["a", "b", "c"]), rnd.randint(0, 50), f"id{i:04d}") for i in range(600)]
     df = spark.createDataFrame(rows, "g string, amount int, dealer_id string")
     order = [F.desc("amount"), F.asc("dealer_id")]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
-    try:
-        got = {(r.g, r.dealer_id): r.pos for r in positions(df, ["g"], order, "pos", 17).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.g, r.dealer_id): r.pos for r in positions(df, ["g"], order, "pos", 17).collect()}
     w = Window.partitionBy("g").orderBy(*order)
     exp = {(r.g, r.dealer_id): r.pos for r in df.withColumn("pos", F.row_number().over(w)).collect()}
     assert got == exp
@@ -224,3 +216,43 @@ def test_neighbors_equal_lag_lead(spark):
     exp = {r.id: (r.p, r.pi, r.n) for r in df.select("id", F.lag("st").over(w).alias("p"), F.lag("id").over(w).alias("pi"),
                                                      F.lead("ts").over(w).alias("n")).collect()}
     assert got == exp
+
+
+def test_ranges_split_a_hot_key_and_stay_in_the_jvm(spark):
+    """A key with nine tenths of the rows over 8 ranges: every function equals the plain window, several
+    ranges hold the key, null keys and null values are kept, and no Python node is in the plans."""
+    from pyspark.sql import Window
+    from fundlake.operators import asof
+    rnd = random.Random(7)
+    rows = [(None if i % 50 == 0 else "HOT" if i % 10 else rnd.choice(["a", "b"]), rnd.randint(0, 300), i,
+             rnd.choice([None, "x", "y"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, at int, id int, v string")
+    order = [F.asc("at"), F.asc("id")]
+    w = Window.partitionBy("k").orderBy("at", "id")
+    got = asof.neighbors(asof.positions(df, ["k"], order, "pos", 8), ["k"], order, ["v", "id"], ["v"], n_partitions=8)
+    exp = df.select("*", F.row_number().over(w).cast("long").alias("pos"), F.lag("v").over(w).alias("prev_v"),
+                    F.lag("id").over(w).alias("prev_id"), F.lead("v").over(w).alias("next_v"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, exp.collect()))
+    parts = asof._ranges(df, ["k"], order, 8).where("k = 'HOT'").select(asof._PART).distinct().count()
+    assert parts >= 6
+    facts, ticks = df.where("id % 3 > 0"), df.where("id % 3 = 0").select("k", "at", F.col("id").alias("tid"))
+    near = asof.nearest(facts, ticks, ["k"], "at", ["id"], ["tid"], 2, 8)
+    latest = asof.asof_latest(facts, ticks, "k", "at", ["id"], ["tid"], 8)
+    for plan in (got, near, latest):
+        text = plan._jdf.queryExecution().toString()
+        assert "Python" not in text and "InPandas" not in text and "Arrow" not in text
+    by_key = {}
+    for k, at, i, _ in rows:
+        if i % 3 == 0:
+            by_key.setdefault(k, []).append((at, i))
+    want, last = set(), {}
+    for k, at, i, _ in rows:
+        if i % 3:
+            t = sorted(by_key.get(k, []))
+            n = sum(x[0] <= at for x in t)
+            want |= {(i, t[n - 1 + o][1], o) for o in range(-1, 3) if 0 <= n - 1 + o < len(t)}
+            last[i] = t[n - 1][1] if n else None
+    assert {(r.id, r.tid, r.tick_offset) for r in near.collect()} == want
+    assert {r.id: r.tid for r in latest.collect()} == last
+    empty = df.where("false")
+    assert asof.positions(empty, ["k"], order).count() == asof.neighbors(empty, ["k"], order, ["v"]).count() == 0
