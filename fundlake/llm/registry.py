@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("op1_quality", "op2_chat", "op3_bpe", "op4_jaccard", "op5_embeddings", "op6_tokens",
-            "op7_decontaminate", "op8_suffixes", "op9_sharding", "op10_licenses", "op11_merkle")
+            "op7_decontaminate", "op8_suffixes", "op9_sharding", "op10_licenses", "op11_merkle",
+            "op12_divergence")
 
 
 def _loaded():
