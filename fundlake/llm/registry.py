@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = ("op1_quality", "op2_chat", "op3_bpe", "op4_jaccard", "op5_embeddings", "op6_tokens",
             "op7_decontaminate", "op8_suffixes", "op9_sharding", "op10_licenses", "op11_merkle",
-            "op12_divergence")
+            "op12_divergence", "op13_imatch")
 
 
 def _loaded():
