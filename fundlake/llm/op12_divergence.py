@@ -47,11 +47,11 @@ OPEN = 1 << 18  # quadrant pairs that a walk holds open at once on a level
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _pieces(data: bytes):
+def _pieces(data: bytes, size: int):
     """The terms of a text, in lists of bounded size."""
     data, at = data.translate(_WORDS), 0
     while at < len(data):
-        end = at + PIECE_BYTES
+        end = at + size
         if end < len(data):
             near = data.rfind(b" ", at, end)
             end = near if near > at else data.find(b" ", end)
@@ -88,35 +88,37 @@ class _Held:
                                 pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
 
 
-def _count(batches):
-    """(lang, source, term, n, docs) of the texts of a task, given out each time ``HELD`` counts are held;
+def _count(limit: int, piece_bytes: int):
+    """(lang, source, term, n, docs) of the texts of a task, given out each time ``limit`` counts are held;
     a row with term null for every group met."""
-    held = _Held()
-    for batch in batches:
-        for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
-            words = Counter()
-            for piece in _pieces(text.as_buffer().to_pybytes()):
-                words.update(piece)
-            held.add((lang.as_py(), source.as_py()), words)
-            if held.size >= HELD:
-                yield held.rows()
-                held = _Held()
-    yield held.rows()
-
-
-def counts(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        held = _Held()
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
+                words = Counter()
+                for piece in _pieces(text.as_buffer().to_pybytes(), piece_bytes):
+                    words.update(piece)
+                held.add((lang.as_py(), source.as_py()), words)
+                if held.size >= limit:
+                    yield held.rows()
+                    held = _Held()
+        yield held.rows()
+    return run
+
+
+def counts(docs: DataFrame, held: int = HELD, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of a term in a group and its documents with it; every
     group also has a row with term null."""
     text = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    made = text.mapInArrow(tidy(_count), "lang string, source string, term string, n long, docs long")
+    made = text.mapInArrow(tidy(_count(held, piece_bytes)), "lang string, source string, term string, n long, docs long")
     return made.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def matrix(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def matrix(docs: DataFrame, min_docs: int = MIN_DOCS, **limits) -> tuple[DataFrame, DataFrame]:
     """groups (lang, source, total, kept, number, zero) and cells (lang, source, term, n, lang_n, p, q):
     the groups with their number in the language and the rate of a zero count; the counts of kept terms
     with the rates of the group and of the language."""
-    every = cut(counts(docs), "divergence-counts")
+    every = cut(counts(docs, **limits), "divergence-counts")
     w = Window.partitionBy("lang", "term")  # a term's rows are at most the sources of a language
     kept = cut(every.where("term is not null").select("*", F.sum("docs").over(w).alias("in_docs"), F.sum("n").over(w).alias("lang_n"))
                .where(F.col("in_docs") >= min_docs).drop("docs", "in_docs"), "divergence-kept")
@@ -236,30 +238,32 @@ def pair_sums(tree: QuadTree, zero: np.ndarray, width: int, first: np.ndarray, s
     return np.where(upper, total + columns * apart(zero[:, None], zero[None, :]), 0)
 
 
-def _block(table: pa.Table) -> pa.Table:
+def _block(row_block: int):
     """One column block of two row blocks -> (lang, a, b, part) for each pair of groups of the two."""
-    number, term = table.column("number").to_numpy(), table.column("term").to_pylist()
-    p, lang = table.column("p").to_numpy(), table.column("lang")[0].as_py()
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    head = np.array([t is None for t in term], bool)
-    rows, at = np.unique(number[head], return_index=True)
-    zero = p[head][at]
-    column = {t: k for k, t in enumerate(sorted({t for t in term if t is not None}))}
-    where = np.array([column[t] for t in term if t is not None], np.int64)
-    tree = QuadTree(np.searchsorted(rows, number[~head]), where, p[~head], len(rows), len(column))
-    first, second = rows // ROWS == low, rows // ROWS == high
-    sums = pair_sums(tree, zero, len(column), first, second)
-    a, b = np.nonzero(np.triu(np.ones(sums.shape, bool), 1) & first[:, None] & second[None, :])
-    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(rows[a], pa.int32()),
-                     "b": pa.array(rows[b], pa.int32()), "part": pa.array(sums[a, b], pa.int64())})
-
-
-def pairs(groups: DataFrame, cells: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        number, term = table.column("number").to_numpy(), table.column("term").to_pylist()
+        p, lang = table.column("p").to_numpy(), table.column("lang")[0].as_py()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        head = np.array([t is None for t in term], bool)
+        rows, at = np.unique(number[head], return_index=True)
+        zero = p[head][at]
+        column = {t: k for k, t in enumerate(sorted({t for t in term if t is not None}))}
+        where = np.array([column[t] for t in term if t is not None], np.int64)
+        tree = QuadTree(np.searchsorted(rows, number[~head]), where, p[~head], len(rows), len(column))
+        first, second = rows // row_block == low, rows // row_block == high
+        sums = pair_sums(tree, zero, len(column), first, second)
+        a, b = np.nonzero(np.triu(np.ones(sums.shape, bool), 1) & first[:, None] & second[None, :])
+        return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(rows[a], pa.int32()),
+                         "b": pa.array(rows[b], pa.int32()), "part": pa.array(sums[a, b], pa.int64())})
+    return run
+
+
+def pairs(groups: DataFrame, cells: DataFrame, rows: int = ROWS, columns: int = COLUMNS) -> DataFrame:
     """(lang, source, item, value) for each group and each other source of its language."""
     sizes = groups.groupBy("lang").agg(F.max("kept").alias("kept"), (F.max("number") + 1).alias("sources"))
-    blocks = F.ceil(F.greatest(F.col("kept"), F.lit(1)) / COLUMNS).cast("int")
-    last = F.floor((F.col("sources") - 1) / ROWS).cast("int")
-    own = F.floor(F.col("number") / ROWS).cast("int")
+    blocks = F.ceil(F.greatest(F.col("kept"), F.lit(1)) / columns).cast("int")
+    last = F.floor((F.col("sources") - 1) / rows).cast("int")
+    own = F.floor(F.col("number") / rows).cast("int")
     # a row block meets every row block of its language
     other = F.explode(F.sequence(F.lit(0), last)).alias("other")
     heads = groups.join(sizes.drop("kept"), "lang").select("lang", "number", F.lit(None).cast("string").alias("term"), F.col("zero").alias("p"),
@@ -267,7 +271,7 @@ def pairs(groups: DataFrame, cells: DataFrame) -> DataFrame:
     body = cells.join(sizes, "lang").select("lang", "number", "term", "p", F.pmod(F.xxhash64("term"), blocks).cast("int").alias("block"), "sources")
     sent = heads.unionByName(body).select("lang", "number", "term", "p", "block", own.alias("own"), other)
     units = sent.select("lang", "number", "term", "p", "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    made = units.groupBy("lang", "block", "low", "high").applyInArrow(_block, "lang string, a int, b int, part long")
+    made = units.groupBy("lang", "block", "low", "high").applyInArrow(_block(rows), "lang string, a int, b int, part long")
     sums = made.groupBy("lang", "a", "b").agg(F.sum("part").alias("value"))
     both = sums.select("lang", "a", "b", "value").union(sums.select("lang", "b", "a", "value"))
     names = groups.select("lang", "number", "source")
@@ -284,9 +288,9 @@ def terms(cells: DataFrame, top: int = TOP) -> DataFrame:
             .select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, **limits) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
-    groups, cells = matrix(docs, min_docs)
+    groups, cells = matrix(docs, min_docs, **limits)
     w = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     told = pairs(groups, cells).withColumn("rank", F.row_number().over(w)).withColumn("part", F.lit("pair"))
     columns = ["lang", "source", "part", "item", "value", "rank"]
