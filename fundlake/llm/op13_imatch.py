@@ -12,12 +12,13 @@ the lexicon that the longer one asks for.  A text without lexicon terms has the
 instead and is like equal ones only.
 
 How: terms are cut and made distinct within the row; only (term, count) goes to the count of documents.
-The lexicon is written, so Spark knows its size and broadcasts it when that is below the session's
-threshold and shuffles otherwise; as the band is a share of the documents it has at most 1 / RARE times
-a document's average terms.  Lexicon terms come back as one list a document, gathered before the shuffle.
+The lexicon is written and counted: up to ``BROADCAST_TERMS`` it is broadcast, beyond it the terms are
+shuffled to it.  Its size does not grow with the corpus: the band is a share of the documents, so it has at
+most RARE times the distinct terms of an average document.  Lexicon terms come back as one list a document,
+gathered before the shuffle.
 
 The next document of a text (``with_next``) is found without a window over all rows: the corpus is cut
-into as many doc_id ranges as the session has shuffle partitions, from range bounds over narrow rows; each
+into ``RANGES`` doc_id ranges for each shuffle partition, from range bounds over narrow rows; each
 range also gets the first row of the range after it (the last range that of the first), so that ``lead``
 within the range is enough and a text is shuffled once.
 
@@ -35,6 +36,8 @@ from .common import LAST, cut, texts
 
 RARE, COMMON = 1000, 20  # the band as N / df: from one document in 1000 to one in 20
 CELLS = 64
+RANGES = 4  # doc_id ranges for each shuffle partition, so that partitions come out even
+BROADCAST_TERMS = 500_000  # a lexicon of at most so many terms (some 30 MB) is broadcast, a larger one shuffled
 SHARES = 4  # the whole lexicon, a 4th, a 16th, a 64th
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -69,7 +72,7 @@ def _range_of(bounds: list) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, id, next_id and next_text of every row in the order of (doc_id, MD5 of the text)."""
     rows = texts(docs).select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("at"), F.md5("text").alias("tie"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = _bounds(cut(rows.select("at", "tie"), "imatch-order"), n)
     if not bounds:
         return rows.select("doc_id", "text", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("next_id"), F.col("text").alias("next_text"))
@@ -112,14 +115,16 @@ def _share(n: Column) -> Column:
 
 
 def _prints(held: DataFrame, names: dict) -> DataFrame:
-    """``held`` with, for each (column of sorted (term, cell, finest) -> name), name_n and name_hashes."""
+    """``held`` with, for each (column of entries, see ``fingerprints`` -> name), name_n and name_hashes."""
     cols = [c for c in held.columns if c not in names]
     x = held.select(*cols, *[F.col(c) for c in names], *[F.size(c).alias(f"{n}_n") for c, n in names.items()])
     cols += [f"{n}_n" for n in names.values()]
 
     def spread(c, n):
         own = _share(F.col(f"{n}_n"))
-        return F.sort_array(F.flatten(F.transform(F.filter(c, lambda t: t["finest"] >= own), lambda t: F.transform(
+        parts = F.transform(c, lambda e: F.struct(F.substring(e, 2, 1).cast("int").alias("finest"), F.substring(e, 3, 2).alias("cell"),
+                                                  F.substring(e, 5, 2 ** 31 - 1).alias("term")))
+        return F.sort_array(F.flatten(F.transform(F.filter(parts, lambda t: t["finest"] >= own), lambda t: F.transform(
             F.sequence(own, t["finest"]), lambda s: F.struct(F.concat(s.cast("string"), t["cell"]).alias("key"), t["term"].alias("term"))))))
     x = x.select(*cols, *[spread(c, n).alias(c) for c, n in names.items()])
 
@@ -159,7 +164,7 @@ def _marked(terms_: str, sides: int) -> Column:
 
 
 def _of_side(got: str, bit: int) -> Column:
-    return F.filter(got, lambda t: t["sides"].bitwiseAND(bit) > 0)
+    return F.filter(got, lambda e: F.substring(e, 1, 1).cast("int").bitwiseAND(bit) > 0)
 
 
 def fingerprints(rows: DataFrame, sides: list[str], keep: list[str], corpus: str, rare: int = RARE, common: int = COMMON) -> DataFrame:
@@ -176,8 +181,12 @@ def fingerprints(rows: DataFrame, sides: list[str], keep: list[str], corpus: str
     bit = 1 << sides.index(corpus)
     own = F.concat(*[F.col(f"__in{k}") for k in parts if k & bit])
     words = cut(lexicon(held.select(own.alias("own")), "own", held.count(), rare, common), "imatch-lexicon")
+    if words.count() <= BROADCAST_TERMS:
+        words = F.broadcast(words)
     said = held.select("id", F.explode(F.concat(*[_marked(f"__in{k}", k) for k in parts])).alias("t")).select("id", "t.*")
-    got = said.join(words, "term").groupBy("id").agg(F.collect_list(F.struct("term", "cell", "finest", "sides")).alias("got"))
+    # an entry of a document's list: sides and finest share (a digit each), cell (two), term
+    entry = F.concat(F.col("sides").cast("string"), F.col("finest").cast("string"), "cell", "term")
+    got = said.join(words, "term").groupBy("id").agg(F.collect_list(entry).alias("got"))
     by_side = got.select("id", *[_of_side("got", 1 << k).alias(s) for k, s in enumerate(sides)])
     made = _prints(by_side, {s: s for s in sides})
     out = held.select("id", *keep, *[f"{s}_every" for s in sides]).join(made, "id", "left")
