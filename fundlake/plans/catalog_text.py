@@ -124,6 +124,61 @@ def corpus_chunks(spark, sf_dir):
                      F.length("chunk_text").cast("bigint").alias("n_chars"))
 
 
+# Policy texts: the lines of a document under headings, some numbered, with a table and fenced code, by rule.
+def policy_texts(spark, sf_dir) -> DataFrame:
+    """(doc_id, md): a markdown text for every document; before every fourth line stands an H2 heading
+    (numbered unless doc_id is divisible by 5), before every ninth an H3 heading, before every seventh a
+    table, before every eleventh a fenced line that looks like a heading."""
+    def line(t, i):
+        number = F.floor(i / 4).cast("string")
+        plain = F.col("doc_id") % 5 == 0
+        h2 = F.when(i % 4 == 3, F.when(plain, F.concat(F.lit("## Part & Rule "), number, F.lit("\n")))
+                    .otherwise(F.concat(F.lit("## "), number, F.lit(". Rule "), number, F.lit("\n")))).otherwise(F.lit(""))
+        h3 = F.when(i % 9 == 8, F.concat(F.lit("### "), number, F.lit(".1 Detail\n"))).otherwise(F.lit(""))
+        table = F.when(i % 7 == 6, F.lit("| a | b |\n|---|---|\n| 1 | 2 |\n")).otherwise(F.lit(""))
+        code = F.when(i % 11 == 10, F.lit("```\n## no heading\n```\n")).otherwise(F.lit(""))
+        return F.concat(h2, h3, table, code, t)
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("md"))
+
+
+@register("corpus_sections", r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+told AS (
+  SELECT doc_id, string_agg(
+    CASE WHEN i % 4 = 3 THEN CASE WHEN doc_id % 5 = 0 THEN '## Part & Rule ' || (i // 4) ELSE '## ' || (i // 4) || '. Rule ' || (i // 4) END || chr(10) ELSE '' END
+    || CASE WHEN i % 9 = 8 THEN '### ' || (i // 4) || '.1 Detail' || chr(10) ELSE '' END
+    || CASE WHEN i % 7 = 6 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) ELSE '' END
+    || CASE WHEN i % 11 = 10 THEN '```' || chr(10) || '## no heading' || chr(10) || '```' || chr(10) ELSE '' END
+    || line, chr(10) ORDER BY i) AS md FROM lines GROUP BY doc_id),
+md_lines AS (
+  SELECT doc_id, unnest(string_split(md, chr(10))) AS line, unnest(range(0, len(string_split(md, chr(10))))) AS pos FROM told),
+fenced AS (
+  SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS fences FROM md_lines),
+headed AS (
+  SELECT *, CASE WHEN starts_with(line, '## ') AND fences % 2 = 0 THEN 1 ELSE 0 END AS opens FROM fenced),
+carried AS (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS section_no FROM headed),
+parts AS (
+  SELECT doc_id, section_no, arg_min(line, pos) AS head, string_agg(line, chr(10) ORDER BY pos) AS body, max(pos) AS last,
+    count_if(starts_with(line, '|---')) AS n_tables
+  FROM carried GROUP BY doc_id, section_no),
+ends AS (SELECT *, lead(section_no) OVER (PARTITION BY doc_id ORDER BY section_no) IS NOT NULL AS more FROM parts)
+SELECT doc_id, CAST(section_no AS INTEGER) AS section_no,
+  CASE WHEN section_no = 0 THEN '0' WHEN regexp_matches(head, '^## [0-9]+[.] ') THEN regexp_extract(head, '^## ([0-9]+)[.]', 1)
+       ELSE replace(replace(lower(substr(head, 4)), ' & ', '-'), ' ', '-') END AS section_id,
+  CASE WHEN section_no = 0 THEN '' ELSE regexp_replace(substr(head, 4), '^[0-9]+[.] ', '') END AS title,
+  n_tables, sha256(body || CASE WHEN more THEN chr(10) ELSE '' END) AS section_sha256
+FROM ends WHERE section_no > 0 OR trim(replace(body, chr(10), ' ')) <> ''""")
+def corpus_sections(spark, sf_dir):
+    """One chunk per H2 section of every policy text, with its section id, tables kept whole."""
+    s = corpus.sections(policy_texts(spark, sf_dir), "doc_id", "md")
+    return s.select("doc_id", "section_no", "section_id", "title",
+                    F.regexp_count("section_text", F.lit(r"(?m)^\|---")).cast("bigint").alias("n_tables"),
+                    F.sha2("section_text", 256).alias("section_sha256"))
+
+
 @register("corpus_current_versions", "WITH " + _CORPUS_SQL + f"""
 SELECT family_id, doc_id, effective_date FROM (
   SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY effective_date DESC, doc_id DESC) AS rn
@@ -138,9 +193,8 @@ def corpus_current_versions(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, chunk_filter=None):
-    ch = corpus.chunk_paragraphs(corpus_rows(spark, sf_dir), "doc_id", "text")
-    if chunk_filter is not None:
-        ch = ch.join(corpus_rows(spark, sf_dir).select("doc_id", "audience", "region"), "doc_id").filter(chunk_filter)
+    docs = corpus_rows(spark, sf_dir)
+    ch = corpus.chunk_paragraphs(docs if chunk_filter is None else docs.filter(chunk_filter), "doc_id", "text")
     q = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
                                                        F.col("text").alias("query_text"))
     from fundlake.session import materialize
@@ -347,6 +401,23 @@ def eval_citations(spark, sf_dir):
     return x.groupBy("session_id", "turn_index", "citation").agg(F.min("pos").cast("int").alias("first_pos"))
 
 
+@register("eval_citation_sections", "WITH " + _EVAL_SQL + r"""
+SELECT session_id, turn_index, cited[1] AS citation, cited[2] AS section, CAST(min(pos) AS INTEGER) AS first_pos FROM (
+  SELECT session_id, turn_index, unnest(list_transform(regexp_extract_all(answer, 'KA-[A-Z]+-[0-9]{3}(?: §[0-9]+(?:[.][0-9]+)*)?'),
+           lambda c: [c[1:strpos(c || ' ', ' ') - 1], CASE WHEN contains(c, '§') THEN string_split(c, '§')[2] ELSE '' END])) AS cited,
+         unnest(range(0, len(regexp_extract_all(answer, 'KA-[A-Z]+-[0-9]{3}')))) AS pos
+  FROM answers) x GROUP BY ALL""")
+def eval_citation_sections(spark, sf_dir):
+    """The document and section each answer cites, in first-seen order; first_pos counts all citations."""
+    a = eval_answers(spark, sf_dir)
+    every = F.lit(f"({corpus.CITATION})(?: §([0-9]+(?:[.][0-9]+)*))?")
+    said = F.transform(F.arrays_zip(F.regexp_extract_all("answer", every, 1).alias("doc"), F.regexp_extract_all("answer", every, 2).alias("section")),
+                       lambda c: F.struct(c["doc"].alias("doc"), c["section"].alias("section")))
+    x = a.select("session_id", "turn_index", said.alias("said"), F.explode(corpus.citations(F.col("answer"))).alias("c"))
+    first = F.array_position(F.transform("said", lambda c: F.concat_ws(" ", c["doc"], c["section"])), F.concat_ws(" ", F.col("c.doc"), F.col("c.section")))
+    return x.select("session_id", "turn_index", F.col("c.doc").alias("citation"), F.col("c.section").alias("section"), (first - 1).cast("int").alias("first_pos"))
+
+
 @register("eval_citation_scores", "WITH " + _EVAL_SQL + """
 SELECT category, count(*) AS n_answers,
        count_if(CASE WHEN must_cite THEN regexp_matches(answer, 'KA-[A-Z]+-[0-9]{3}') ELSE TRUE END) AS n_passed,

@@ -52,7 +52,7 @@ def staged_events(spark: SparkSession, sf_dir: str, reverse: bool = False) -> st
     ev = ev.withColumn("_chunk", F.floor(F.datediff(F.to_date("ts"), F.lit(lo)) / CHUNK_DAYS).cast("int"))
     dest = checkpoint_root(spark, "staged-events")
     order = list(range(n))
-    streams.stage_files(ev, dest, "_chunk", order[::-1] if reverse else order)
+    streams.stage_files(ev, dest, "_chunk", order[::-1] if reverse else order, ["ts", "event_id"])
     _STAGED[key] = dest + "/*"
     return _STAGED[key]
 
@@ -200,24 +200,33 @@ def stream_sessions(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- L6
-@register("stream_claim_state", _with(_TR_SQL, """
-SELECT claim_id, arg_max(status, ord) FILTER (WHERE accepted) AS status,
+CLAIM_TTL_DAYS = 5  # a claim without a transition for so long is closed
+
+
+@register("stream_claim_state", _with(_TR_SQL, f"""
+SELECT claim_id, min(ts) AS opened_ts, arg_max(status, ord) FILTER (WHERE accepted) AS status,
        CAST(max(status_rank) AS INTEGER) AS status_rank,
-       count_if(accepted) AS n_accepted, count_if(NOT accepted) AS n_rejected, max(ts) AS last_ts
-FROM (SELECT claim_id, status, status_rank, ts, row_number() OVER (PARTITION BY claim_id ORDER BY ts, event_id) AS ord,
-             coalesce(status_rank >= max(status_rank) OVER (PARTITION BY claim_id ORDER BY ts, event_id
+       count_if(accepted) AS n_accepted, count_if(NOT accepted) AS n_rejected, max(ts) AS last_ts,
+       max(ts) + INTERVAL {CLAIM_TTL_DAYS} DAY < (SELECT max(ts) FROM tr) - INTERVAL 1 HOUR
+         OR life < max(max(life)) OVER (PARTITION BY claim_id) AS closed
+FROM (SELECT claim_id, life, status, status_rank, ts, row_number() OVER (PARTITION BY claim_id, life ORDER BY ts, event_id) AS ord,
+             coalesce(status_rank >= max(status_rank) OVER (PARTITION BY claim_id, life ORDER BY ts, event_id
                                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted
-      FROM (SELECT *, CASE status WHEN 'Draft' THEN 0 WHEN 'Submitted' THEN 1 WHEN 'Under_Review' THEN 2
-                                  WHEN 'Approved' THEN 3 WHEN 'Rejected' THEN 3 WHEN 'Paid' THEN 4 END AS status_rank
-            FROM tr) t) x
-GROUP BY claim_id"""))
+      FROM (SELECT *, sum(opens) OVER (PARTITION BY claim_id ORDER BY ts, event_id) AS life FROM (
+              SELECT *, CASE status WHEN 'Draft' THEN 0 WHEN 'Submitted' THEN 1 WHEN 'Under_Review' THEN 2
+                                    WHEN 'Approved' THEN 3 WHEN 'Rejected' THEN 3 WHEN 'Paid' THEN 4 END AS status_rank,
+                     CASE WHEN ts - lag(ts) OVER (PARTITION BY claim_id ORDER BY ts, event_id) > INTERVAL {CLAIM_TTL_DAYS} DAY
+                          THEN 1 ELSE 0 END AS opens
+              FROM tr) t) y) x
+GROUP BY claim_id, life"""))
 def stream_claim_state(spark, sf_dir):
-    """Claim state machine with backward moves rejected (applyInPandasWithState)."""
-    sdf = streams.claim_state_machine(_transitions(_events_stream(spark, sf_dir)))
+    """Claim state machine with backward moves rejected (applyInPandasWithState); a claim closes after
+    ``CLAIM_TTL_DAYS`` without a transition, its state goes with the watermark."""
+    sdf = streams.claim_state_machine(_transitions(_events_stream(spark, sf_dir)), CLAIM_TTL_DAYS)
     log = checkpoint_root(spark, "claim-state-log")
     streams.run_available_now(sdf, streams.append_batches(log), checkpoint_root(spark, "ckpt-claim-state"), "update")
-    return streams.latest_updates(spark, log, ["claim_id"],
-                                  ["claim_id", "status", "status_rank", "n_accepted", "n_rejected", "last_ts"])
+    return streams.latest_updates(spark, log, ["claim_id", "opened_ts"],
+                                  ["claim_id", "opened_ts", "status", "status_rank", "n_accepted", "n_rejected", "last_ts", "closed"])
 
 
 # -------------------------------------------------------------------------- L12
@@ -242,9 +251,31 @@ def stream_submission_decision_join(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- L5
-@register("stream_dedupe_calls", None)
+# The replay of the staged files, one batch a file: a batch gives the first call of every key without
+# state; a key's state ends with the first batch whose watermark (latest call of the batches before, less
+# five minutes) has reached its first call plus five minutes.
+@register("stream_dedupe_calls", _with("RECURSIVE " + _EV_SQL + f""",
+calls AS (
+  SELECT event_id, ts, sha256(concat(cast(user_id AS string), '|', event_type)) AS call_hash,
+         CAST(CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM ev) AS BIGINT) // {CHUNK_DAYS} AS batch FROM ev),
+first_calls AS (
+  SELECT call_hash, batch, ts, event_id FROM calls QUALIFY row_number() OVER (PARTITION BY call_hash, batch ORDER BY ts, event_id) = 1),
+marks AS (
+  SELECT b.batch, (SELECT max(ts) FROM calls c WHERE c.batch < b.batch) - INTERVAL 5 MINUTE AS mark
+  FROM (SELECT unnest(range(0, (SELECT max(batch) + 1 FROM calls))) AS batch) b),
+replay AS (
+  SELECT k.call_hash, CAST(-1 AS BIGINT) AS batch, CAST(NULL AS TIMESTAMP) AS ends, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts
+  FROM (SELECT DISTINCT call_hash FROM calls) k
+  UNION ALL
+  SELECT r.call_hash, m.batch,
+    CASE WHEN coalesce(r.ends, f.ts + INTERVAL 5 MINUTE) > coalesce(m.mark, TIMESTAMP '1970-01-01') THEN coalesce(r.ends, f.ts + INTERVAL 5 MINUTE) END,
+    CASE WHEN r.ends IS NULL THEN f.event_id END, CASE WHEN r.ends IS NULL THEN f.ts END
+  FROM replay r JOIN marks m ON m.batch = r.batch + 1
+  LEFT JOIN first_calls f ON f.call_hash = r.call_hash AND f.batch = m.batch)""",
+                                       "SELECT event_id, ts, call_hash FROM replay WHERE event_id IS NOT NULL"))
 def stream_dedupe_calls(spark, sf_dir):
-    """L5 (stream form): the same call hash within the 5-minute watermark is one draft."""
+    """L5 (stream form): the same call hash within the 5-minute watermark is one draft; state ends with the
+    watermark.  The files are replayed in time order, one a batch."""
     sdf = _events_stream(spark, sf_dir).withColumn(
         "call_hash", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256))
     d = streams.dedupe_within_watermark(sdf, "ts", ["call_hash"], "5 minutes")

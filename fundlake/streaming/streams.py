@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,15 @@ from fundlake.session import checkpoint_root, path_exists
 
 
 # ------------------------------------------------------------------ source staging
-def stage_files(df: DataFrame, dest: str, chunk_col: str, order: list) -> list[str]:
+def stage_files(df: DataFrame, dest: str, chunk_col: str, order: list, sort: list[str] = ()) -> list[str]:
     """Write ``df`` as one folder per chunk value, in the given order (one write per chunk,
-    so file modification times follow ``order`` and a file source replays them in it)."""
+    so file modification times follow ``order`` and a file source replays them in it);
+    ``sort``: the order of the rows in a file."""
     paths = []
     for i, v in enumerate(order):
         p = f"{dest}/chunk-{i:04d}"
-        df.filter(F.col(chunk_col) == F.lit(v)).drop(chunk_col).coalesce(1).write.mode("overwrite").parquet(p)
+        part = df.filter(F.col(chunk_col) == F.lit(v)).drop(chunk_col).coalesce(1)
+        (part.sortWithinPartitions(*sort) if sort else part).write.mode("overwrite").parquet(p)
         paths.append(p)
     return paths
 
@@ -53,8 +56,8 @@ def with_provenance(df: DataFrame, source_name: str | None = None) -> DataFrame:
 
 
 def run_available_now(sdf: DataFrame, sink: Callable | str, checkpoint: str, output_mode: str = "append",
-                      path: str | None = None, fmt: str = "parquet") -> None:
-    """Start, drain everything available, stop (L1/L4)."""
+                      path: str | None = None, fmt: str = "parquet"):
+    """Start, drain everything available, stop (L1/L4); the ended query, with its progress."""
     w = sdf.writeStream.option("checkpointLocation", checkpoint).outputMode(output_mode).trigger(availableNow=True)
     if callable(sink):
         q = w.foreachBatch(sink).start()
@@ -63,6 +66,7 @@ def run_available_now(sdf: DataFrame, sink: Callable | str, checkpoint: str, out
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    return q
 
 
 def batch_path(path: str, batch_id: int) -> str:
@@ -129,48 +133,86 @@ def sessions(sdf: DataFrame, ts: str, key: str, gap: str = "30 minutes", waterma
 
 
 def dedupe_within_watermark(sdf: DataFrame, ts: str, key: list[str], delay: str = "5 minutes") -> DataFrame:
-    """The same call within the watermark delay is one draft."""
+    """The same call within the watermark delay is one draft.  Spark keeps a key's state for the delay
+    after its first call and until the batch in which the watermark passes that ends, so what counts as
+    the same call also depends on the batches."""
     return sdf.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-STATE_OUT = T.StructType([T.StructField("claim_id", T.StringType()), T.StructField("status", T.StringType()),
-                          T.StructField("status_rank", T.IntegerType()),
-                          T.StructField("n_accepted", T.LongType()), T.StructField("n_rejected", T.LongType()),
-                          T.StructField("last_ts", T.TimestampType())])
-STATE_SCHEMA = T.StructType([T.StructField("status", T.StringType()), T.StructField("rank", T.IntegerType()),
-                             T.StructField("n_accepted", T.LongType()), T.StructField("n_rejected", T.LongType()),
-                             T.StructField("last_ts", T.TimestampType())])
-
-
-def _advance(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Claim state machine: a move is accepted when it does not go backward."""
-    if state.exists:
-        status, rank, n_acc, n_rej, last_ts = state.get
-    else:
-        status, rank, n_acc, n_rej, last_ts = None, -1, 0, 0, None
-    frames = [p for p in pdfs if len(p)]
-    if frames:
-        rows = pd.concat(frames).sort_values(["ts", "event_id"])
-        for s, t in zip(rows["status"].tolist(), rows["ts"].tolist()):
-            r = STATUS_RANK.get(s, -1)
-            if r >= rank:
-                status, rank, n_acc = s, r, n_acc + 1
-            else:
-                n_rej += 1
-            last_ts = t
-    state.update((status, int(rank), int(n_acc), int(n_rej), last_ts))
-    yield pd.DataFrame({"claim_id": [key[0]], "status": [status], "status_rank": [int(rank)],
-                        "n_accepted": [int(n_acc)], "n_rejected": [int(n_rej)], "last_ts": [last_ts]})
-
-
-def claim_state_machine(sdf: DataFrame) -> DataFrame:
+STATE_OUT = "claim_id string, opened long, status string, status_rank int, n_accepted long, n_rejected long, last long, closed boolean"
+STATE_SCHEMA = "opened long, code int, n_accepted long, n_rejected long, last long"
+_STATUSES = list(STATUS_RANK)
+_RANKS = np.array([*STATUS_RANK.values(), -1])  # by code: the place in _STATUSES, the last one any other status
+
+
+def _fold(state: tuple | None, us: np.ndarray, code: np.ndarray, ttl_us: int) -> list[tuple]:
+    """The lives that ``state`` and the transitions (in order) make, the last one still open: (opened, code,
+    accepted, rejected, last).  A pause longer than ``ttl_us`` ends a life; a move is accepted when it does
+    not go backward, so the rank is the running maximum."""
+    before = np.concatenate([[state[4] if state else us[0]], us[:-1]])
+    starts = np.flatnonzero(us - before > ttl_us)
+    lives, ends = [], [*starts, len(us)]
+    if state is None or (len(starts) and starts[0] == 0):
+        if state:
+            lives.append(state)
+        state = None
+    first = 0
+    for end in ends:
+        if end == first:
+            continue
+        opened, held, accepted, rejected, _ = state or (int(us[first]), len(_STATUSES), 0, 0, 0)
+        rank = _RANKS[code[first:end]]
+        top = np.maximum.accumulate(np.concatenate([[_RANKS[held]], rank]))
+        ok = rank >= top[:-1]
+        hits = np.flatnonzero(ok)
+        lives.append((opened, int(code[first + hits[-1]]) if len(hits) else int(held), accepted + len(hits),
+                      rejected + int((~ok).sum()), int(us[end - 1])))
+        state, first = None, end
+    return lives
+
+
+def _claim_rows(claim: str, lives: list[tuple], closed: bool) -> pd.DataFrame:
+    """All lives but the last are closed; the last one is if ``closed``."""
+    opened, code, accepted, rejected, last = zip(*lives)
+    return pd.DataFrame({"claim_id": claim, "opened": opened, "status": [(*_STATUSES, None)[c] for c in code],
+                         "status_rank": _RANKS[list(code)].astype("int32"), "n_accepted": accepted, "n_rejected": rejected,
+                         "last": last, "closed": [True] * (len(lives) - 1) + [closed]})
+
+
+def _advance(ttl_us: int):
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = tuple(state.get) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield _claim_rows(key[0], [held], True)
+            return
+        # of a claim's rows in a batch only three narrow arrays are kept, whatever their number
+        parts = [(p["us"].to_numpy(np.int64), p["event_id"].to_numpy(np.int64),
+                  p["status"].map(_STATUSES.index, na_action="ignore").fillna(len(_STATUSES)).to_numpy(np.int8)) for p in pdfs if len(p)]
+        us, ids, code = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, us))
+        lives = _fold(held, us[order], code[order], ttl_us)
+        state.update(lives[-1])
+        state.setTimeoutTimestamp((lives[-1][4] + ttl_us) // 1000)
+        yield _claim_rows(key[0], lives, False)
+    return run
+
+
+def claim_state_machine(sdf: DataFrame, ttl_days: int = 30, watermark: str = "1 hour") -> DataFrame:
     """Per-claim state from transition events (applyInPandasWithState).
 
-    Rows of one claim inside a micro-batch arrive as one group; state carries the
-    accepted status across batches.  Input order within a claim is (ts, event_id).
+    Rows of one claim inside a micro-batch arrive as one group; state carries the accepted
+    status across batches.  Input order within a claim is (ts, event_id).  A claim without a
+    transition for ``ttl_days`` is closed: its state goes when the watermark passes that
+    moment, a later transition opens the claim anew.  A pause is measured between the event
+    times themselves, so the rows do not depend on the batches.  Output: a row for each claim
+    and opening, again each time it changes.  Transitions older than the watermark are dropped.
     """
-    return sdf.groupBy("claim_id").applyInPandasWithState(
-        _advance, STATE_OUT, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+    rows = sdf.withWatermark("ts", watermark).select("claim_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "status")
+    out = rows.groupBy("claim_id").applyInPandasWithState(
+        _advance(ttl_days * 86_400_000_000), STATE_OUT, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select("claim_id", F.timestamp_micros("opened").alias("opened_ts"), "status", "status_rank", "n_accepted", "n_rejected",
+                      F.timestamp_micros("last").alias("last_ts"), "closed")
 
 
 def stream_static_join(sdf: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:

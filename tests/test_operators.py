@@ -150,21 +150,15 @@ def test_metrics_registry_errors_and_synonyms():
 
 
 def test_state_machine_rejects_backward():
-    import pandas as pd
-    from fundlake.streaming.streams import _advance
-
-    class S:
-        exists = False
-        get = None
-
-        def update(self, v):
-            self.v = v
-    st = S()
-    pdf = pd.DataFrame({"status": ["Submitted", "Approved", "Under_Review", "Paid"],
-                        "ts": pd.to_datetime(["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]),
-                        "event_id": [1, 2, 3, 4]})
-    out = next(_advance(("c1",), iter([pdf]), st))
-    assert out.iloc[0]["status"] == "Paid" and out.iloc[0]["n_rejected"] == 1 and out.iloc[0]["n_accepted"] == 3
+    import numpy as np
+    from fundlake.streaming.streams import _STATUSES, _fold
+    code = [_STATUSES.index(s) for s in ("Submitted", "Approved", "Under_Review", "Paid")]
+    (opened, held, accepted, rejected, last), = _fold(None, np.array([10, 20, 30, 40]), np.array(code), 100)
+    assert (_STATUSES[held], accepted, rejected, opened, last) == ("Paid", 3, 1, 10, 40)
+    # a pause longer than the time to live closes the claim; the state before it is given out once more
+    lives = _fold((10, code[3], 3, 1, 40), np.array([150, 160, 400]), np.array([code[0], code[2], code[1]]), 100)
+    assert lives == [(10, code[3], 3, 1, 40), (150, code[2], 2, 0, 160), (400, code[1], 1, 0, 400)]
+    assert _fold((10, code[3], 3, 1, 40), np.array([140]), np.array([code[0]]), 100) == [(10, code[3], 3, 2, 140)]
 
 
 def test_asof_latest_hot_key_across_partitions(spark):
