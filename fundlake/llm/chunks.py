@@ -2,8 +2,8 @@
 
 A task takes its documents in chunks of bounded bytes; ``chunk`` cuts the whole texts into pre-tokens and
 gives the chunk's distinct ones and the place of every occurrence among them, so what costs time is done
-once for each distinct pre-token.  ``Known`` keeps results for the pre-tokens a worker has met last, up
-to a bound, for its later chunks.  Nothing is shuffled: a row for each chunk and distinct pre-token,
+once for each distinct pre-token.  ``Known`` keeps results for the pre-tokens a task has met last, up
+to a bound, for its later chunks; it goes with the task, since a worker serves many stages.  Nothing is shuffled: a row for each chunk and distinct pre-token,
 dealt by pre-token and joined back, took more disk than the documents themselves.  Only the texts go to
 the workers: lists of pieces made in the JVM filled its heap and the Arrow buffers.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import give_back, slices, texts
 
 CHUNK_BYTES = 3_000_000
-KEPT = 200_000  # pre-tokens in each of the two tables of results that a worker keeps
+KEPT = 100_000  # pre-tokens in each of the two tables of results that a task keeps
 # Fixed value: public_tokenizers.PATTERN with \s as the Unicode property, as the libraries read it.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")

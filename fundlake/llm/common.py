@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from fundlake.session import checkpoint_root
 
 LAST = 2**63 - 1  # the order of a null doc_id
+SLICE_BYTES = 400_000  # of text that a numpy step works on at once
+BATCH_BYTES = 8_000_000  # of an Arrow batch
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,6 +58,16 @@ def give_back() -> None:
         pass
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose Arrow batches to Python workers hold at most ``BATCH_BYTES``: a task keeps one in the
+    JVM's buffers and one in its worker, whatever the rows' length.  This is set for the session where
+    that has Spark's default; another value is left as it is."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
+
+
 def tidy(run):
     """``run``, a function over Arrow batches, that gives memory back when a task is over."""
     @wraps(run)
@@ -76,7 +89,7 @@ def spare(df: DataFrame, name: str) -> str:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """The columns doc_id, text (null: empty) and ``more``, nothing else."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
@@ -90,7 +103,7 @@ def marked(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000):
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Row ranges (first, last + 1) of ``batch`` whose texts hold at most ``limit`` bytes each;
     a longer text is a range of its own."""
     ends = np.cumsum(byte_lengths(batch.column(column)))

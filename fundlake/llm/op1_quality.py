@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spare, texts, tidy, utf8
+from .common import slices, small_batches, spare, texts, tidy, utf8
 from .shingles import words
 
 MAX_DOCS, MAX_BYTES = 4000, 65_536
@@ -221,7 +221,7 @@ def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
                 s = score(model, *line_features(*utf8(part.column(name))))
                 yield part.filter(pa.array(s >= threshold)).drop_columns([name])
     name = spare(docs, "text")
-    return docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(tidy(run), docs.schema)
+    return small_batches(docs).withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(tidy(run), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

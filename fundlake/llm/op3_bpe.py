@@ -25,8 +25,7 @@ from .chunks import Known, chunks, rows
 from .common import tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PAIRS = 300_000  # pairs a worker remembers the outcome of
-_loaded: dict = {}
+PAIRS = 200_000  # pairs a task remembers the outcome of
 
 
 class Ranks:
@@ -55,9 +54,7 @@ class _Pairs(dict):
 
 
 def load(path: str) -> Ranks:
-    if path not in _loaded:
-        _loaded[path] = Ranks(path)
-    return _loaded[path]
+    return Ranks(path)
 
 
 def replay(words: list[bytes], ranks: Ranks) -> list[np.ndarray]:
@@ -139,9 +136,9 @@ def replay(words: list[bytes], ranks: Ranks) -> list[np.ndarray]:
     return [x if x is not None else np.zeros(0, "<u4") for x in out]
 
 
-def _encoder(path: str):
-    def run(batches):
-        ranks, known = _loaded.setdefault((path, "known"), (load(path), Known()))
+def _encoder(path: str, ranks: Ranks | None = None):
+    def run(batches, ranks=ranks):
+        ranks, known = ranks or Ranks(path), Known()
         for part, words, place, at in chunks(batches):
             value = known(words, lambda new: [x.tobytes() for x in replay([w.encode() for w in new], ranks)])
             begin = np.concatenate([[0], np.cumsum([len(v) // 4 for v in value])]).astype(np.int64)
@@ -169,8 +166,8 @@ def decode(ids: bytes, ranks: Ranks) -> bytes:
 def _round_trip(path: str):
     """Encoding and decoding in one task, so the ids of a text needn't leave the worker."""
     def run(batches):
-        ranks = load(path)
-        for batch in _encoder(path)(batches):
+        ranks = Ranks(path)
+        for batch in _encoder(path, ranks)(batches):
             ids = batch.column("ids").to_pylist()
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_tokens"),
                                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),

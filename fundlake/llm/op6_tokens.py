@@ -19,19 +19,12 @@ from .common import tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-_loaded: dict = {}
-
-
-def _tokenizer(path: str):
-    if path not in _loaded:
-        from tokenizers import Tokenizer
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
 
 
 def _counter(path: str, limit: int, special: str | None):
     def run(batches):
-        t, known = _loaded.setdefault((path, "known"), (_tokenizer(path), Known()))
+        from tokenizers import Tokenizer
+        t, known = Tokenizer.from_file(path), Known()
 
         def counted(words):
             return [len(x) for x in t.encode_batch_fast(words, add_special_tokens=False)]
