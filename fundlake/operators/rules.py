@@ -30,7 +30,9 @@ FY_END_OUTCOME = {"Draft": "forfeit", "Submitted": "protected", "Under_Review":
                   "Approved": "protected", "Paid": "disbursed", "Rejected": "released", "Expired": "forfeit"}
 # deadlines as (month, day) before the fiscal-year end; stage SLAs in business days
 DEADLINE_SUBMIT = (1, 31)
+DEADLINE_PROOF = (2, 14)
 DEADLINE_DECISION = (2, 21)
+SLA_BRAND_BD, SLA_CMM_BD = 3, 5
 SLA_REVIEW_BD = 8        # brand review (3) + CMM review (5)
 SLA_FINANCE_BD = 10
 FORCE_MAJEURE_CAP = "0.30"
@@ -131,3 +133,17 @@ def reallocation_pairs(util: DataFrame, group: list[str], donor: Column, receive
     return j.select(*group, "pair_rank", F.col("d.dealer_id").alias("donor_dealer_id"),
                     F.col("r.dealer_id").alias("receiver_dealer_id"),
                     F.least(F.col("d.amount"), F.col("r.amount")).alias("transfer_usd"))
+
+
+def business_days(cal_index: DataFrame) -> DataFrame:
+    """(ordinal, date): the inverse of the calendar's prefix index, one row a business day."""
+    return cal_index.groupBy(F.col("bd_index").alias("ordinal")).agg(F.min("date_key").alias("date")).where("ordinal > 0")
+
+
+def after_business_days(df: DataFrame, bd_index: DataFrame, start: str, n: int, out: str) -> DataFrame:
+    """``out`` = the n-th business day after ``start``, by two equi-joins to the calendar spine;
+    null where ``start`` is null or the calendar ends before."""
+    s = bd_index.select(F.col("date_key").alias("__d"), (F.col("bd_index") + n).alias("__n"))
+    e = business_days(bd_index).select(F.col("ordinal").alias("__o"), F.col("date").alias(out))
+    j = df.join(F.broadcast(s), F.col(start) == F.col("__d"), "left").join(F.broadcast(e), F.col("__n") == F.col("__o"), "left")
+    return j.drop("__d", "__n", "__o")

@@ -98,6 +98,42 @@ def running_totals(events: DataFrame, key: list[str], day: str, values: list[str
     return daily.select(*key, day, *values, *[F.sum(v).over(w).alias(f"cum_{v}") for v in values])
 
 
+def daily_grid(events: DataFrame, key: list[str], day: str, values: list[str]) -> DataFrame:
+    """one row per key and day from the key's first to its last day, with the day's sums (0 without
+    events) and the cumulative sums carried forward.  A key's rows are at most its days."""
+    daily = events.groupBy(*key, day).agg(*[F.sum(v).alias(v) for v in values])
+    spine = daily.groupBy(*key).agg(F.min(day).alias("__a"), F.max(day).alias("__b")) \
+        .select(*key, F.explode(F.sequence("__a", "__b", F.expr("INTERVAL 1 DAY"))).alias(day))
+    zero = {v: F.lit(0).cast(daily.schema[v].dataType) for v in values}
+    grid = spine.join(daily, [*key, day], "left").select(*key, day, *[F.coalesce(F.col(v), zero[v]).alias(v) for v in values])
+    w = Window.partitionBy(*key).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return grid.select("*", *[F.sum(v).over(w).alias(f"cum_{v}") for v in values])
+
+
+def compacted(turns: DataFrame, session: str, order: list[str], size: str, every: int = 10, fold: int = 6) -> DataFrame:
+    """A transcript after rolling compaction: after every ``every``-th turn the oldest ``fold`` rows,
+    a summary row among them, become one summary row.  (session, kind, position, n_turns, size).
+
+    A first fold takes ``fold`` turns, each later one the summary and ``fold`` - 1 turns; after f folds the
+    summary holds (fold - 1) f + 1 turns and stands at position 0.  Turns are numbered by range partitions,
+    so a session with a third of all turns is split; the summary is a combinable aggregate."""
+    from fundlake.operators.asof import positions
+    rows = positions(turns.select(session, *order, size), [session], [F.asc(c) for c in order], "position")
+    folds = rows.groupBy(session).agg(F.floor(F.max("position") / every).alias("folds"))
+    held = rows.join(folds, session)
+    covered = (F.col("folds") > 0) & (F.col("position") <= (fold - 1) * F.col("folds") + 1)
+    kind = F.when(covered, F.lit("summary")).otherwise(F.lit("turn")).alias("kind")
+    place = F.when(covered, F.lit(0)).otherwise(F.col("position")).cast("long").alias("position")
+    return held.select(session, kind, place, size).groupBy(session, "kind", "position").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.sum(size).cast("long").alias(size))
+
+
+def grouped_sets(df: DataFrame, sets: list[list[str]], dims: list[str], aggs: list[Column]) -> DataFrame:
+    """F16: GROUPING SETS over ``dims`` with ``grouping_id``, one pass."""
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in dims]).agg(
+        *aggs, F.grouping_id().cast("int").alias("grouping_id"))
+
+
 def subtotals(df: DataFrame, dims: list[str], aggs: list[Column], kind: str = "rollup") -> DataFrame:
     """F16: ROLLUP / CUBE with ``grouping_id``."""
     g = df.rollup(*dims) if kind == "rollup" else df.cube(*dims)

@@ -90,6 +90,15 @@ def call_hash(user: Column, ids: Column, template: Column, deadline: Column) ->
                               F.coalesce(deadline.cast("string"), F.lit("None"))), 256)
 
 
+def list_hash(lists: DataFrame, key: str, part: str = "part", ids: str = "dealer_ids") -> DataFrame:
+    """C25 over id lists of any length: (key, n_ids, ids_hash).  ``lists`` holds the sorted ids of a key in
+    parts of bounded size; each part is hashed, and the parts' hashes in their order (64 characters a
+    part) are hashed again."""
+    leaf = lists.select(key, part, F.size(ids).cast("long").alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("h"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(part, "h"))), lambda x: x["h"])
+    return leaf.groupBy(key).agg(F.sum("n").alias("n_ids"), F.sha2(F.array_join(ordered, ","), 256).alias("ids_hash"))
+
+
 def campaign_code(created: Column, hash_hex: Column) -> Column:
     """``nudge-YYYYMM-<first 6 hex of the call hash>``."""
     return F.concat(F.lit("nudge-"), F.date_format(created, "yyyyMM"), F.lit("-"), F.substring(hash_hex, 1, 6))

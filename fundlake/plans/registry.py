@@ -11,6 +11,7 @@ _MODULES = [
     "fundlake.plans.catalog_text",
     "fundlake.plans.catalog_rules",
     "fundlake.plans.catalog_more",
+    "fundlake.plans.catalog_proof",
     "fundlake.streaming.catalog_streams",
     "fundlake.sources.catalog_sources",
 ]
