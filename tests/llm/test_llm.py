@@ -482,7 +482,7 @@ def test_chat_oracle_and_names(spark):
 
     import __spark_entry__ as entry
     names = entry.queries()
-    assert "pipeline" in names and sum(bool(re.match(r"op\d+_", n)) for n in names) == 10
+    assert "pipeline" in names and sum(bool(re.match(r"op\d+_", n)) for n in names) == 13
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
     want = con.sql(entry.oracle_sql()["op2_chat"]).fetchall()
