@@ -12,6 +12,7 @@ _MODULES = [
     "fundlake.plans.catalog_rules",
     "fundlake.plans.catalog_more",
     "fundlake.plans.catalog_proof",
+    "fundlake.plans.catalog_tables",
     "fundlake.streaming.catalog_streams",
     "fundlake.sources.catalog_sources",
 ]

@@ -328,6 +328,22 @@ def idempotency_window_batch(spark, sf_dir):
     return x.groupBy("call_hash").agg(F.count(F.lit(1)).alias("n_requests"), F.count_if("is_new").alias("n_drafts"))
 
 
+# -------------------------------------------------------------------------- L15
+@register("stream_audit_rows", f"""WITH {_EV_SQL}
+SELECT concat('D-', printf('%06d', user_id)) AS actor, event_type AS action, ts AS logged_at,
+       concat('{{"event_id":', CAST(event_id AS VARCHAR), CASE WHEN props IS NULL THEN '' ELSE concat(',"n_props":', CAST(length(props) AS VARCHAR)) END, '}}') AS payload
+FROM ev WHERE event_type IN ('purchase', 'signup', 'error')""")
+def stream_audit_rows(spark, sf_dir):
+    """Audit rows of purchases, signups and errors appended by a stream, a folder for each batch."""
+    ev = _events_stream(spark, sf_dir).where(F.col("event_type").isin("purchase", "signup", "error")).select(
+        dealer_key(F.col("user_id")).alias("actor"), F.col("event_type").alias("action"), "ts", "event_id",
+        F.length("props").alias("n_props"))
+    path = checkpoint_root(spark, "audit-stream")
+    streams.append_audit(streams.audit_rows(ev, "actor", "action", ["event_id", "n_props"]), path,
+                         checkpoint_root(spark, "ckpt-audit"))
+    return spark.read.parquet(path).select("actor", "action", "logged_at", "payload")
+
+
 # -------------------------------------------------------------------------- L13
 CHANGE_SCHEMA = T.StructType([
     T.StructField("account_id", T.StringType()), T.StructField("dealer_id", T.StringType()),

@@ -82,6 +82,22 @@ def append_batches(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+def audit_rows(sdf: DataFrame, actor: str, action: str, payload: list[str], at: str = "ts") -> DataFrame:
+    """One audit row an event: who did what when, the payload as JSON, and an id made from the rest, so
+    the row of an event is the same however often it is made."""
+    body = F.to_json(F.struct(*payload))
+    key = F.concat_ws("\u001f", F.col(actor), F.col(action), F.col(at).cast("string"), body)
+    return sdf.select(F.sha2(key, 256).alias("audit_id"), F.col(at).alias("logged_at"), F.col(actor).alias("actor"),
+                      F.col(action).alias("action"), body.alias("payload"))
+
+
+def append_audit(audit: DataFrame, path: str, checkpoint: str, sink: Callable | None = None):
+    """A stream of audit rows appended to ``path``, a folder for each batch id.  A batch that is run again
+    after a failure rewrites its folder, so no row stands twice; a restart with the same ``checkpoint`` goes on
+    with the first batch that was not committed."""
+    return run_available_now(audit, sink or append_batches(path), checkpoint)
+
+
 def latest_updates(spark: SparkSession, path: str, keys: list[str], schema_cols: list[str]) -> DataFrame:
     """Latest update per key from an append-only update log (aggregate, skew-safe)."""
     df = spark.read.parquet(path)
