@@ -105,6 +105,17 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 
 
+def repeats(df: DataFrame, key: list[str], totals: list[str] = ()) -> DataFrame:
+    """One row a key with ``n_copies``, how many it came in; ``n_copies - 1`` of them are quarantined.  ``total_c``
+    sums column c over all copies.  The row kept is the least by its other columns.  An aggregate that combines before the shuffle, so a key that came very
+    often stays small; null keys are one key."""
+    rest = [c for c in df.columns if c not in key]
+    least = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__row"), F.count(F.lit(1)).alias("n_copies"),
+                                   *[F.sum(c).alias(f"total_{c}") for c in totals])
+    return least.select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in df.columns], "n_copies",
+                        *[f"total_{c}" for c in totals])
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], value: str,
               left_name: str = "source", right_name: str = "target") -> DataFrame:
     """Per-key totals on both sides, full outer, rows whose difference is not zero."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundlake.functions import exact
-from fundlake.operators import sinks
+from fundlake.operators import quality, sinks
 from fundlake.plans import refresh, schemas
 from fundlake.plans.model import Model
 from fundlake.plans.oracle import q
@@ -99,6 +99,26 @@ def refresh_report(spark, sf_dir):
     return spark.read.parquet(f"{out}/report")
 
 
+# ------------------------------------------------------------------- keys
+_SENT = f"""sent AS (
+  SELECT order_line_id, net_revenue_usd, fiscal_year, 1 AS try FROM s_order
+  UNION ALL SELECT order_line_id, net_revenue_usd, fiscal_year, 2 FROM s_order WHERE line_no = 3)"""
+
+
+@register("quality_repeated_order_lines", q("""
+SELECT fiscal_year, count(*) AS n_sent, count(DISTINCT order_line_id) AS n_kept, count(*) - count(DISTINCT order_line_id) AS n_quarantined,
+       CAST(sum(CASE WHEN try = 2 THEN net_revenue_usd ELSE 0 END) AS DECIMAL(18,2)) AS quarantined_usd
+FROM sent GROUP BY 1""", _SENT))
+def quality_repeated_order_lines(spark, sf_dir):
+    """D15 as a rule: of the order lines with one key one is kept and the others are quarantined.  The stand-in feed
+    sends every line numbered 3 a second time."""
+    o = Model.for_session(spark, sf_dir).silver.sell_through_order.select("order_line_id", "line_no", "net_revenue_usd", "fiscal_year")
+    t = quality.repeats(o.unionByName(o.where("line_no = 3")), ["order_line_id"], ["net_revenue_usd"])
+    return t.groupBy("fiscal_year").agg(
+        F.sum("n_copies").alias("n_sent"), F.count(F.lit(1)).alias("n_kept"), F.sum(F.col("n_copies") - 1).alias("n_quarantined"),
+        M(F.sum(F.col("total_net_revenue_usd") - F.col("net_revenue_usd"))).alias("quarantined_usd"))
+
+
 # ------------------------------------------------------------- catalog tables (A2)
 @register("catalog_dealer_balances", q("""
 SELECT d.dealer_id, d.tier, CAST(u.unused_usd AS DECIMAL(18,2)) AS unused_usd, u.n_programs,

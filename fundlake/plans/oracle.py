@@ -72,7 +72,8 @@ sell_through_order AS (
          concat('D-', printf('%06d', o_custkey)) AS dealer_id,
          CASE l_partkey % 5 WHEN 0 THEN 'Seating' WHEN 1 THEN 'Desks' WHEN 2 THEN 'Storage' WHEN 3 THEN 'Architecture' ELSE 'Accessories' END AS product_family,
          cast(o_orderdate AS date) AS order_date, cast(l_shipdate AS date) AS ship_date,
-         cast(cast(l_extendedprice AS decimal(14,2)) * (cast(1 AS decimal(4,2)) - cast(l_discount AS decimal(4,2))) AS decimal(14,2)) AS net_revenue_usd
+         cast(cast(l_extendedprice AS decimal(14,2)) * (cast(1 AS decimal(4,2)) - cast(l_discount AS decimal(4,2))) AS decimal(14,2)) AS net_revenue_usd,
+         concat_ws('-', l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS line_key
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 s_dealer AS (
   SELECT d.dealer_id, d.account_id AS salesforce_account_id, d.dealer_name, d.region_id, d.country, d.tier,
@@ -96,7 +97,7 @@ s_allocation AS (
          CASE WHEN program_id LIKE '%-LAB' THEN 'top_up' ELSE 'initial' END AS allocation_source
   FROM coop_allocation WHERE allocated_usd > 0 AND expiration_date >= allocation_date),
 s_order AS (
-  SELECT concat(order_id, '-', cast(line_no AS string)) AS order_line_id, order_id, line_no, dealer_id, product_family,
+  SELECT concat_ws('-', order_id, line_no, line_key) AS order_line_id, order_id, line_no, dealer_id, product_family,
          order_date, ship_date, net_revenue_usd,
          concat('FY', lpad(cast((year(order_date) - CASE WHEN month(order_date) < 3 THEN 1 ELSE 0 END) % 100 AS string), 2, '0')) AS fiscal_year
   FROM sell_through_order WHERE net_revenue_usd >= 0),

@@ -109,7 +109,7 @@ class Silver:
     def sell_through_order(self) -> DataFrame:
         o = self.dom.sell_through_order
         return quality.apply_rules(
-            o.select(F.concat_ws("-", "order_id", F.col("line_no").cast("string")).alias("order_line_id"),
+            o.select(F.concat_ws("-", "order_id", F.col("line_no").cast("string"), "line_key").alias("order_line_id"),
                      "order_id", "line_no", "dealer_id", "product_family", "order_date", "ship_date",
                      "net_revenue_usd", fiscal.fiscal_year("order_date").alias("fiscal_year")),
             quality.ORDER_RULES)

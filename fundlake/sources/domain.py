@@ -227,7 +227,9 @@ class Domain:
     # ----------------------------------------------------------------- orders
     @cached_property
     def sell_through_order(self) -> DataFrame:
-        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
+        """Order lines.  Line numbers repeat within an order of the feed, so ``line_key`` (part, supplier and ship
+        day) tells such lines apart; a line that is sent twice has the same key twice."""
+        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                                     "l_extendedprice", "l_discount")
         o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
         fam = None
@@ -242,7 +244,9 @@ class Domain:
                         F.col("o_orderdate").cast("date").alias("order_date"),
                         F.col("l_shipdate").cast("date").alias("ship_date"),
                         (dec(F.col("l_extendedprice"), 14, 2) * (D("1", 4, 2) - dec(F.col("l_discount"), 4, 2)))
-                        .cast("decimal(14,2)").alias("net_revenue_usd")))
+                        .cast("decimal(14,2)").alias("net_revenue_usd"),
+                        F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                                    F.date_format("l_shipdate", "yyyyMMdd")).alias("line_key")))
 
     # ------------------------------------------------------------ event feeds
     @cached_property

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF_SMALL
-from fundlake.operators import sinks
+from fundlake.operators import quality, sinks
 from fundlake.plans import catalog_tables, refresh, schemas
 from fundlake.plans.model import Model
 from fundlake.streaming import streams
@@ -108,3 +108,16 @@ def test_audit_stream_after_a_failure(spark, tmp_path):
     got = spark.read.parquet(path)
     assert got.count() == got.select("audit_id").distinct().count() == 9
     assert sorted(got.select("payload").distinct().toPandas()["payload"])[-1] == "{}"
+
+
+def test_order_lines_have_one_key(spark):
+    o = Model(spark, SF_SMALL).silver.sell_through_order
+    assert o.count() == o.select("order_line_id").distinct().count()
+    assert quality.duplicate_keys(o, ["order_id", "line_no"]).count() > 0
+
+
+def test_repeats_keep_one_row_a_key(spark):
+    df = spark.createDataFrame([("a", 5, "x"), ("a", 3, None), ("a", 3, "z"), (None, 1, "n"), (None, 1, "n"), ("b", None, "y")], "k string, v int, w string")
+    got = {r.k: (r.v, r.w, r.n_copies, r.total_v) for r in quality.repeats(df, ["k"], ["v"]).collect()}
+    assert got == {"a": (3, None, 3, 11), None: (1, "n", 2, 2), "b": (None, "y", 1, None)}
+    assert quality.repeats(df.limit(0), ["k"]).collect() == []
