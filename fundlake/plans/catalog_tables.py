@@ -1,4 +1,5 @@
-"""Registered queries over stored tables: coercion reports (B1, C3) and bucketed catalog tables (A2)."""
+"""Registered queries over stored tables: coercion reports (B1, C3), line keys (D15), bucketed catalog tables (A2) and
+saved views (K8, K9)."""
 
 from __future__ import annotations
 
@@ -7,11 +8,11 @@ from pyspark.sql import functions as F
 
 from fundlake.functions import exact
 from fundlake.operators import quality, sinks
-from fundlake.plans import refresh, schemas
+from fundlake.plans import refresh, saved_views, schemas
 from fundlake.plans.model import Model
 from fundlake.plans.oracle import q
-from fundlake.session import checkpoint_root
-from fundlake.sources.driver import read_catalog_table
+from fundlake.session import checkpoint_root, materialize
+from fundlake.sources.driver import read_catalog_table, read_table
 
 REGISTRY: dict = {}
 M = exact.money
@@ -137,3 +138,77 @@ def catalog_dealer_balances(spark, sf_dir):
                                       F.countDistinct("month").alias("n_months"))
     return (dealer.select("dealer_id", "tier").join(u, "dealer_id", "left").join(p, "dealer_id", "left")
             .select("dealer_id", "tier", "unused_usd", "n_programs", "net_revenue_usd", "n_months"))
+
+
+# --------------------------------------------------------------- saved views (K8, K9)
+# The views that the stand-in's users save, by name, and what goes wrong with some requests.
+_VIEWS = {
+    "Asia by tier": '{"metric_view": "coop_program_metrics", "group_by": ["tier", "fiscal_year"], '
+                    '"measures": ["allocated_usd", "unused_usd"], "filters": [{"dim": "region", "value": "ASIA"}]}',
+    "Gold risk": '{"metric_view": "forfeiture_risk", "group_by": ["region"], "measures": ["unused_balance_usd"], '
+                 '"filters": [{"dim": "tier", "value": "Gold"}]}',
+    "Paid claims": '{"metric_view": "claim_lifecycle", "group_by": ["tier"], "measures": ["claims_paid"]}',
+    "Revenue": '{"metric_view": "dealer_performance", "group_by": ["region", "month"], "measures": ["net_revenue_usd"]}'}
+_WRONG = [(13, "malformed", '{"metric_view": "forfeiture_risk", "group_by": "region"'),
+          (17, "unknown_view", '{"metric_view": "coop_sales", "group_by": ["region"]}'),
+          (19, "nothing_asked", '{"metric_view": "forfeiture_risk", "filters": []}'),
+          (23, "unknown_dimension", '{"metric_view": "forfeiture_risk", "group_by": ["region", "colour"]}'),
+          (29, "unknown_measure", '{"metric_view": "activity_lift", "measures": ["weather"]}'),
+          (31, "filter_without_value", '{"metric_view": "forfeiture_risk", "group_by": ["tier"], "filters": [{"dim": "tier"}]}'),
+          (37, "malformed", '{"metric_view": "forfeiture_risk", "group_by": "region", "measures": ["unused_balance_usd"]}')]
+
+
+def save_requests(spark, sf_dir) -> DataFrame:
+    """Stand-in: every event is a request of one of ten users to save one of four views; payloads that must be
+    refused where the event number is divisible by one of a few primes."""
+    e = read_table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    names = list(_VIEWS)
+    name, good = F.lit(names[0]), F.lit(_VIEWS[names[0]])
+    for i, n in enumerate(names[1:], 1):
+        name, good = F.when(k % len(names) == i, n).otherwise(name), F.when(k % len(names) == i, _VIEWS[n]).otherwise(good)
+    payload = None
+    for p, _, text in _WRONG:
+        payload = F.when(k % p == 0, text) if payload is None else payload.when(k % p == 0, text)
+    return e.select(F.concat(F.lit("U-"), (F.col("user_id") % 10).cast("string")).alias("user_id"), name.alias("name"),
+                    F.col("ts").alias("saved_at"), k.alias("request_id"), (k % 3 == 0).alias("pinned"), payload.otherwise(good).alias("payload"))
+
+
+_REQ_SQL = f"""req AS (
+  SELECT concat('U-', CAST(user_id % 10 AS VARCHAR)) AS user_id,
+         CASE event_id % {len(_VIEWS)} {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_VIEWS))} END AS name,
+         ts AS saved_at, event_id AS request_id, event_id % 3 = 0 AS pinned,
+         CASE {' '.join(f"WHEN event_id % {p} = 0 THEN '{r}'" for p, r, _ in _WRONG)} END AS refused,
+         CASE event_id % {len(_VIEWS)} {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_VIEWS.values()))} END AS payload
+  FROM events)"""
+
+
+@register("saved_view_refusals", f"""WITH {_REQ_SQL}
+SELECT coalesce(refused, 'accepted') AS outcome, count(*) AS n_requests, count(DISTINCT user_id) AS n_users FROM req GROUP BY 1""")
+def saved_view_refusals(spark, sf_dir):
+    """K9: requests to save a view by outcome: accepted, or why their payload is refused."""
+    return saved_views.checked(save_requests(spark, sf_dir)).groupBy(F.coalesce("refused", F.lit("accepted")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n_requests"), F.countDistinct("user_id").alias("n_users"))
+
+
+@register("saved_view_store", f"""WITH {_REQ_SQL}
+SELECT user_id, name, saved_at, request_id, pinned, payload, n_saves FROM (
+  SELECT *, count(*) OVER (PARTITION BY user_id, name) AS n_saves,
+         row_number() OVER (PARTITION BY user_id, name ORDER BY saved_at DESC, request_id DESC) AS place
+  FROM req WHERE refused IS NULL) x WHERE place = 1""")
+def saved_view_store(spark, sf_dir):
+    """K8 (a job): the accepted requests upserted by user and name into a stored table; the last one counts."""
+    s = saved_views.stored(save_requests(spark, sf_dir), ["saved_at", "request_id"])
+    return materialize(s, "saved-views").drop("view_id")
+
+
+@register("saved_view_run_stored", q("""
+SELECT d.tier, u.fiscal_year, CAST(round(sum(u.allocated_usd), 0) AS DECIMAL(18,0)) AS allocated_usd,
+       CAST(round(sum(u.unused_usd), 0) AS DECIMAL(18,0)) AS unused_usd
+FROM util u JOIN s_dealer d ON u.dealer_id = d.dealer_id JOIN dim_region r ON d.region_id = r.region_id
+WHERE r.region = 'ASIA' GROUP BY 1, 2"""))
+def saved_view_run_stored(spark, sf_dir):
+    """K8 + K10 (a job): a view read from its stored row by user and name, checked, run and shown in its formats."""
+    s = materialize(saved_views.stored(save_requests(spark, sf_dir), ["saved_at", "request_id"]), "saved-views")
+    r = saved_views.run_stored(Model.for_session(spark, sf_dir), s, "U-3", "Asia by tier")
+    return r.select("tier", "fiscal_year", M(F.col("allocated_usd"), 0).alias("allocated_usd"), M(F.col("unused_usd"), 0).alias("unused_usd"))
