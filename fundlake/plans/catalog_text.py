@@ -282,6 +282,46 @@ def corpus_hybrid_rrf(spark, sf_dir):
     return r.select("query_id", "chunk_id", "rrf_score", F.col("rank").cast("bigint").alias("rank"))
 
 
+QUERY_EVERY = 100  # the documents whose id it divides are the queries
+
+
+_HYBRID_SQL = f"""WITH dtok AS (SELECT doc_id, {_tok('text')} AS toks FROM documents WHERE length(trim(text)) > 0),
+post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM dtok) x GROUP BY 1, 2, 3),
+stats AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM dtok),
+dft AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qt AS (SELECT DISTINCT doc_id AS query_id, unnest(toks) AS term FROM dtok WHERE doc_id % {QUERY_EVERY} = 0),
+kw AS (SELECT q.query_id, p.doc_id,
+              sum(ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) * (p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avgdl))) AS score
+       FROM qt q JOIN dft d ON q.term = d.term JOIN post p ON p.term = q.term CROSS JOIN stats s GROUP BY 1, 2),
+ra AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(score, 6) AS DECIMAL(18,6)) DESC, doc_id) AS place FROM kw),
+cv AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cs AS (SELECT q.doc_id AS query_id, c.doc_id,
+              list_dot_product(c.v, q.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(q.v, q.v))) AS c
+       FROM cv c CROSS JOIN cv q WHERE q.doc_id % {QUERY_EVERY} = 0),
+rb AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(round(c, 6) AS DECIMAL(18,6)) DESC, doc_id) AS place FROM cs),
+u AS (SELECT query_id, doc_id, 1.0 / (60 + place) AS rrf, 1 AS kw, 0 AS vec FROM ra WHERE place <= 6
+      UNION ALL SELECT query_id, doc_id, 1.0 / (60 + place), 0, 1 FROM rb WHERE place <= 6),
+f AS (SELECT query_id, doc_id, CAST(round(sum(rrf), 8) AS DECIMAL(18,8)) AS rrf_score, sum(kw) > 0 AS by_keyword, sum(vec) > 0 AS by_vector
+      FROM u GROUP BY 1, 2)
+SELECT query_id, doc_id, rrf_score, by_keyword, by_vector, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM f) x WHERE rank <= 6"""
+
+
+@register("corpus_hybrid_vector", _HYBRID_SQL)
+def corpus_hybrid_vector(spark, sf_dir):
+    """N6 over N4 and N5: the documents like a document, for every id divisible by 100: BM25 over whole texts and the
+    cosine of the vectors, six each, fused by reciprocal ranks.  A document's vector is the stand-in row of
+    ``embeddings`` with its id."""
+    from fundlake.session import materialize
+    d = read_table(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0).select("doc_id", "text")
+    e = read_table(spark, sf_dir, "embeddings")
+    asked = d.where(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    a = corpus.bm25_top_k(d, asked, 6, keys=("doc_id",), text_col="text", materialize=lambda x: materialize(x, "bm25-postings"))
+    b = corpus.cosine_top_k_in_blocks(e, e.where(F.col("vec_id") % QUERY_EVERY == 0), 6).withColumnRenamed("vec_id", "doc_id")
+    r = corpus.reciprocal_rank_fusion([a, b], ["query_id"], "doc_id", names=["keyword", "vector"])
+    return r.select("query_id", "doc_id", "rrf_score", "by_keyword", "by_vector", F.col("rank").cast("bigint").alias("rank"))
+
+
 # -------------------------------------------------------------- chat + eval tables
 def chat_turns(spark, sf_dir) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations")
