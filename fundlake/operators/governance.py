@@ -19,6 +19,11 @@ USER_RULES = {
     "region_role_has_region": "role NOT IN ('channel_mgr','rmd') OR region_id IS NOT NULL",
 }
 
+# The groups that see revenue; role -> group (dealers and unknown roles are in none).
+REVENUE_GROUPS = ["channel_marketing", "finance"]
+ROLE_GROUP = {"director": "channel_marketing", "channel_mgr": "channel_marketing", "rmd": "channel_marketing",
+              "finance": "finance", "admin": "admin"}
+
 
 def scope_kind(role_col: str = "role"):
     e = None
@@ -48,6 +53,13 @@ def mask_columns(df: DataFrame, role_col: str, masks: dict[str, list[str]]) -> D
     return out
 
 
+def limit_columns(df: DataFrame, role_col: str, columns: list[str], groups: list[str]) -> DataFrame:
+    """M2: NULL the listed columns unless the role's group is one of ``groups``; a role without a group, unknown
+    or null, sees none of them."""
+    allowed = F.coalesce(F.col(role_col).isin([r for r, g in ROLE_GROUP.items() if g in groups]), F.lit(False))
+    return df.withColumns({c: F.when(allowed, F.col(c)) for c in columns})
+
+
 def scoped_totals(users: DataFrame, facts: DataFrame, measures: list[str]) -> DataFrame:
     """M3: per user, the measure totals of their scope (three equi-joins, one union)."""
     u = users.withColumn("scope", scope_kind())

@@ -6,6 +6,7 @@
   pass that writes the table.
 * ``save_bucketed`` stores a catalog table in buckets of a key, so joins and groupings
   on that key need no exchange.
+* ``publish_version`` writes a mirror beside the one before; readers change over when it is whole.
 * ``append_run`` appends under a run id: a retried run replaces its own rows.
 * ``write_partitioned`` uses dynamic partition overwrite, so re-running one fiscal
   year replaces only that year's folders.
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fundlake.session import path_exists
+
 
 def coerce_to_schema(df: DataFrame, target: T.StructType) -> tuple[DataFrame, list[str]]:
     """Cast to each target field, add missing as typed NULL, drop (and report) extras."""
@@ -123,3 +126,31 @@ def publish_latest(df: DataFrame, path: str, date_col: str = "date_key", synced_
     out = latest_snapshot(df, date_col).withColumn("synced_at", ts)
     out.write.mode("overwrite").parquet(path)
     return out
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions under ``path``, ascending (a listing of the folder, no data)."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(base)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and path_exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def publish_version(df: DataFrame, path: str, date_col: str = "date_key", synced_at: str | None = None) -> int:
+    """B6 without a moment in which readers find no table: the latest snapshot with ``synced_at`` as one more version
+    beside the earlier ones; its number.  A write that fails leaves a folder that no reader takes and the next
+    attempt replaces.  One writer at a time."""
+    ts = F.lit(synced_at).cast("timestamp") if synced_at else F.current_timestamp()
+    version = max(_versions(df.sparkSession, path), default=0) + 1
+    latest_snapshot(df, date_col).withColumn("synced_at", ts).write.mode("overwrite").parquet(f"{path}/v{version}")
+    return version
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version under ``path``; FileNotFoundError where there is none."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v{versions[-1]}")

@@ -1,5 +1,5 @@
-"""Registered queries over stored tables: coercion reports (B1, C3), line keys (D15), bucketed catalog tables (A2) and
-saved views (K8, K9)."""
+"""Registered queries over stored tables: coercion reports (B1, C3), line keys (D15), bucketed catalog tables (A2), the
+serving mirror (B6), revenue by group (M2) and saved views (K8, K9)."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundlake.functions import exact
-from fundlake.operators import quality, sinks
+from fundlake.operators import governance, quality, sinks
 from fundlake.plans import refresh, saved_views, schemas
+from fundlake.plans.catalog_rules import _USERS_SQL, users
 from fundlake.plans.model import Model
 from fundlake.plans.oracle import q
 from fundlake.session import checkpoint_root, materialize
@@ -140,6 +141,40 @@ def catalog_dealer_balances(spark, sf_dir):
             .select("dealer_id", "tier", "unused_usd", "n_programs", "net_revenue_usd", "n_months"))
 
 
+# ------------------------------------------------------------- serving mirror (B6), revenue (M2)
+EARLIER = "2001-04-01"
+
+
+@register("published_versions", q("""
+SELECT fiscal_year, date_key, count(*) AS n_rows, CAST(sum(unused_usd) AS DECIMAL(18,2)) AS unused_usd,
+       DATE '2001-10-14' AS synced_on FROM util GROUP BY 1, 2"""))
+def published_versions(spark, sf_dir):
+    """B6 (a job): a history of one snapshot is published, then one of two; readers find the later snapshot alone."""
+    m = Model(spark, sf_dir)
+    first = Model(spark, sf_dir, as_of=EARLIER).utilization
+    path = checkpoint_root(spark, "published")
+    sinks.publish_version(first, path, synced_at=f"{EARLIER} 12:00:00")
+    sinks.publish_version(materialize(first.unionByName(m.utilization), "history"), path, synced_at="2001-10-14 12:00:00")
+    return sinks.read_published(spark, path).groupBy("fiscal_year", "date_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), M(F.sum("unused_usd")).alias("unused_usd"),
+        F.max(F.col("synced_at").cast("date")).alias("synced_on"))
+
+
+@register("governance_revenue", q("""
+SELECT u.user_id, u.role, CASE WHEN u.role <> 'dealer' THEN CAST(sum(p.net_revenue_usd) AS DECIMAL(18,2)) END AS net_revenue_usd,
+       CAST(sum(p.coop_paid_usd) AS DECIMAL(18,2)) AS coop_paid_usd
+FROM users u LEFT JOIN perf p
+  ON u.role IN ('director', 'finance') OR (u.role IN ('channel_mgr', 'rmd') AND p.region_id = u.region_id)
+     OR (u.role = 'dealer' AND p.dealer_id = u.dealer_id)
+GROUP BY 1, 2""", _USERS_SQL))
+def governance_revenue(spark, sf_dir):
+    """M1 + M2: each user's totals within their scope; revenue shows only to channel marketing and finance."""
+    m = Model.for_session(spark, sf_dir)
+    t = governance.scoped_totals(users(spark, m, sf_dir), m.dealer_performance, ["net_revenue_usd", "coop_paid_usd"])
+    t = governance.limit_columns(t, "role", ["net_revenue_usd"], governance.REVENUE_GROUPS)
+    return t.select("user_id", "role", M("net_revenue_usd").alias("net_revenue_usd"), M("coop_paid_usd").alias("coop_paid_usd"))
+
+
 # --------------------------------------------------------------- saved views (K8, K9)
 # The views that the stand-in's users save, by name, and what goes wrong with some requests.
 _VIEWS = {

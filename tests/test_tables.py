@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF_SMALL
-from fundlake.operators import quality, sinks
+from fundlake.operators import governance, quality, sinks
 from fundlake.plans import catalog_tables, refresh, schemas
 from fundlake.plans.model import Model
 from fundlake.streaming import streams
@@ -121,3 +121,25 @@ def test_repeats_keep_one_row_a_key(spark):
     got = {r.k: (r.v, r.w, r.n_copies, r.total_v) for r in quality.repeats(df, ["k"], ["v"]).collect()}
     assert got == {"a": (3, None, 3, 11), None: (1, "n", 2, 2), "b": (None, "y", 1, None)}
     assert quality.repeats(df.limit(0), ["k"]).collect() == []
+
+
+def test_readers_see_whole_versions_only(spark, tmp_path):
+    path = str(tmp_path / "mirror")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_published(spark, path)
+    one = spark.createDataFrame([(1, "2024-01-01")], "x int, date_key string")
+    two = one.unionByName(spark.createDataFrame([(2, "2024-01-02"), (3, "2024-01-02")], one.schema))
+    assert sinks.publish_version(one, path) == 1
+    before = sinks.read_published(spark, path)
+    two.write.parquet(f"{path}/v2")
+    (tmp_path / "mirror" / "v2" / "_SUCCESS").unlink()  # a write that did not end
+    assert [r.x for r in sinks.read_published(spark, path).collect()] == [1]
+    assert sinks.publish_version(two, path) == 2
+    assert sorted(r.x for r in sinks.read_published(spark, path).collect()) == [2, 3]
+    assert [r.x for r in before.collect()] == [1]
+
+
+def test_revenue_shows_to_its_groups(spark):
+    df = spark.createDataFrame([(r, 5) for r in ("director", "finance", "dealer", "admin", "guest", None)], "role string, revenue int")
+    got = {r.role: r.revenue for r in governance.limit_columns(df, "role", ["revenue"], governance.REVENUE_GROUPS).collect()}
+    assert got == {"director": 5, "finance": 5, "dealer": None, "admin": None, "guest": None, None: None}
