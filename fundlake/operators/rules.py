@@ -35,6 +35,11 @@ DEADLINE_DECISION = (2, 21)
 SLA_BRAND_BD, SLA_CMM_BD = 3, 5
 SLA_REVIEW_BD = 8        # brand review (3) + CMM review (5)
 SLA_FINANCE_BD = 10
+# events: attendees that a local, design or hospitality event needs; spend per attendee of hospitality in AMERICA
+EVENT_MINIMUM_ACTIVITIES, EVENT_MINIMUM = [7, 8, 10], 10
+HOSPITALITY = {"region": "AMERICA", "activity": 10, "per_head_usd": 185}
+# audit: share of a year's claims in the last week of January (%), days a pre-approval holds, claims in seven days
+AUDIT_WINDOW_PCT, AUDIT_PREAPPROVAL_DAYS, AUDIT_DENSITY = 30, 90, 20
 FORCE_MAJEURE_CAP = "0.30"
 EXTENSION_EXPIRY = (4, 30)
 
@@ -147,3 +152,49 @@ def after_business_days(df: DataFrame, bd_index: DataFrame, start: str, n: int,
     e = business_days(bd_index).select(F.col("ordinal").alias("__o"), F.col("date").alias(out))
     j = df.join(F.broadcast(s), F.col(start) == F.col("__d"), "left").join(F.broadcast(e), F.col("__n") == F.col("__o"), "left")
     return j.drop("__d", "__n", "__o")
+
+
+def performance_multiplier(earned: list[tuple[Column, str]], cap: str = MULT_CAP) -> Column:
+    """The product of the multipliers whose condition holds (null: not earned), at most ``cap``;
+    decimal(9,8), no digit of a product of four is lost."""
+    out = F.lit(1).cast("decimal(3,2)")
+    for cond, factor in earned:
+        out = out * F.when(cond, F.lit(factor)).otherwise(F.lit("1")).cast("decimal(3,2)")
+    return F.least(F.lit(cap).cast("decimal(9,8)"), out.cast("decimal(9,8)"))
+
+
+def event_checks(events: DataFrame) -> DataFrame:
+    """``events`` (activity_type_id, attendees, event_cost_usd, region, ...) with ``too_few`` (fewer attendees than
+    such an event needs; unknown numbers are too few) and ``over_cap`` (hospitality in the region with a cap
+    that cost more than the cap for each attendee; without attendees every cost is over it)."""
+    acts = [f"ACT-{a:02d}" for a in EVENT_MINIMUM_ACTIVITIES]
+    heads = F.greatest(F.coalesce("attendees", F.lit(0)), F.lit(0))
+    capped = (F.col("activity_type_id") == f"ACT-{HOSPITALITY['activity']:02d}") & (F.col("region") == HOSPITALITY["region"])
+    over = capped & (F.col("event_cost_usd") > heads * HOSPITALITY["per_head_usd"])
+    return events.withColumn("too_few", F.coalesce(F.col("activity_type_id").isin(acts) & (heads < EVENT_MINIMUM), F.lit(False))) \
+        .withColumn("over_cap", F.coalesce(over, F.lit(False)))
+
+
+def audit_findings(claims: DataFrame) -> DataFrame:
+    """(flag_type, subject, n) of all four triggers over ``claims`` (claim_id, dealer_id, fiscal_year, submission_date,
+    preapproval_id, region, venue_region):
+
+    * ``late_cycle_dumping``: dealer and year with too many claims in the last week of January, n of them
+    * ``preapproval_expired_reuse``: claim on a pre-approval first used over 90 days before, n those days
+    * ``claim_density``: dealer with too many claims in seven days, n the most in any seven
+    * ``out_of_region``: claim executed outside the dealer's region, n = 1; an unknown region is no finding
+
+    The density window sees one row a dealer and day, the rest are aggregates and filters."""
+    from fundlake.operators import windows
+    last_week = (F.month("submission_date") == 1) & (F.dayofmonth("submission_date") >= 25)
+    dumping = (windows.share_in_window(claims, ["dealer_id", "fiscal_year"], last_week)
+               .where(F.col("n_window") * 100 > F.col("n_all") * AUDIT_WINDOW_PCT)
+               .select(F.lit("late_cycle_dumping").alias("flag_type"), F.concat_ws(" ", "dealer_id", "fiscal_year").alias("subject"), F.col("n_window").alias("n")))
+    reuse = (windows.key_reuse(claims.select("claim_id", "preapproval_id", "submission_date"), "preapproval_id", "submission_date", AUDIT_PREAPPROVAL_DAYS)
+             .where("is_reused AND is_expired_use")
+             .select(F.lit("preapproval_expired_reuse").alias("flag_type"), F.col("claim_id").alias("subject"), F.col("days_since_first_use").cast("bigint").alias("n")))
+    density = (windows.rolling_density(claims, "dealer_id", "submission_date", 7).groupBy("dealer_id").agg(F.max("n_7d").alias("n"))
+               .where(F.col("n") > AUDIT_DENSITY).select(F.lit("claim_density").alias("flag_type"), F.col("dealer_id").alias("subject"), "n"))
+    outside = claims.where(F.col("venue_region") != F.col("region")).select(
+        F.lit("out_of_region").alias("flag_type"), F.col("claim_id").alias("subject"), F.lit(1).cast("bigint").alias("n"))
+    return dumping.unionByName(reuse).unionByName(density).unionByName(outside)

@@ -13,6 +13,7 @@ _MODULES = [
     "fundlake.plans.catalog_more",
     "fundlake.plans.catalog_proof",
     "fundlake.plans.catalog_tables",
+    "fundlake.plans.catalog_branches",
     "fundlake.streaming.catalog_streams",
     "fundlake.sources.catalog_sources",
 ]

@@ -164,7 +164,7 @@ class Domain:
         lift = None
         for i, v in LIFT_FACTORS.items():
             lift = F.when(a == i, D(v, 4, 1)) if lift is None else lift.when(a == i, D(v, 4, 1))
-        base = self.claim_base.select((F.col("k") % N_ACTIVITIES).alias("a")).distinct()
+        base = self.spark.range(N_ACTIVITIES).select(F.col("id").alias("a"))
         return base.select(
             F.concat(F.lit("ACT-"), F.lpad(a.cast("string"), 2, "0")).alias("activity_type_id"),
             F.concat(F.lit("Activity "), a.cast("string")).alias("activity_name"),
