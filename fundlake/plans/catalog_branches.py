@@ -17,9 +17,11 @@ from fundlake.plans import metrics
 from fundlake.plans.catalog import _FR_JOIN, _LATEST, FY, REGION_FULL
 from fundlake.plans.catalog_proof import _FILED_SQL, filed_claims
 from fundlake.plans.catalog_rules import PRIOR_FY, _m
-from fundlake.plans.catalog_text import _CHAT_SQL, _pick, _rx, _sql_pick, chat_turns
+from fundlake.plans.catalog_text import _CHAT_SQL, _CORPUS_SQL, _pick, _rx, _sql_pick, chat_turns, corpus_rows
 from fundlake.plans.model import Model
 from fundlake.plans.oracle import q
+from fundlake.session import checkpoint_root
+from fundlake.sources import files
 from fundlake.sources.domain import ACTIVITY_CATEGORIES
 
 REGISTRY: dict = {}
@@ -330,3 +332,33 @@ def q_average_lift_by_tier(spark, sf_dir):
     """the unweighted average lift against control of the dealer months of each tier."""
     r = metrics.query(_m(spark, sf_dir), "dealer_performance", ["tier"], ["lift_vs_control_pct", "attributed_coop_usd_lift"])
     return r.select("tier", F.col("lift_vs_control_pct").cast("decimal(8,4)").alias("lift_vs_control_pct"), M("attributed_coop_usd_lift").alias("lift_usd"))
+
+
+# ------------------------------------------------------- markdown files
+FRONT_MATTER = {"doc_id": "bigint", "title": "string", "audience": "string", "region": "string", "effective_date": "date", "expires": "date", "version": "string"}
+
+
+def markdown_files(spark, sf_dir) -> str:
+    """A folder with a markdown file a document, a stand-in: front matter by rule (no version where the id is divisible
+    by 10), then the whole text, which opens with a line that looks like a field where it is divisible by 4."""
+    c = corpus_rows(spark, sf_dir)
+    k = F.col("doc_id")
+    line = [F.lit("---"), F.concat(F.lit("title: Policy "), F.col("family_id"), F.lit(": part "), (k % 9).cast("string")),
+            F.concat(F.lit("doc_id: "), k.cast("string")), F.concat(F.lit("audience: "), F.col("audience")), F.concat(F.lit("region: "), F.col("region")),
+            F.concat(F.lit("effective_date: "), F.col("effective_date").cast("string")), F.concat(F.lit("expires: "), F.col("expires").cast("string")),
+            F.when(k % 10 != 0, F.concat(F.lit("version: FY0"), (k % 7).cast("string"), F.lit("."), (k % 4 + 1).cast("string"))), F.lit("---"),
+            F.when(k % 4 == 0, F.lit("version: none")), F.coalesce("text", F.lit(""))]
+    path = checkpoint_root(spark, "markdown")
+    c.select("doc_id", F.concat_ws("\n", *line).alias("value")).withColumnRenamed("doc_id", "doc").write.partitionBy("doc").text(path)
+    return path
+
+
+@register("corpus_markdown_files", "WITH " + _CORPUS_SQL + """
+SELECT doc_id, 'Policy ' || family_id || ': part ' || (doc_id % 9) AS title, audience, region, effective_date, expires,
+       CASE WHEN doc_id % 10 <> 0 THEN 'FY0' || (doc_id % 7) || '.' || (doc_id % 4 + 1) END AS version,
+       md5(CASE WHEN doc_id % 4 = 0 THEN 'version: none' || chr(10) ELSE '' END || coalesce(text, '') || chr(10)) AS body_md5
+FROM corpus""")
+def corpus_markdown_files(spark, sf_dir):
+    """Markdown files read whole, front matter as typed columns (dates, version), the body kept to the byte."""
+    x = corpus.markdown_columns(files.read_markdown(spark, markdown_files(spark, sf_dir)), FRONT_MATTER)
+    return x.select(*FRONT_MATTER, F.md5("body").alias("body_md5"))

@@ -131,4 +131,5 @@ class Model:
 
     @cached_property
     def dim_fiscal_calendar(self) -> DataFrame:
-        return self.silver.fiscal_calendar()
+        """K2: every day of the fiscal years in the claim feed, whatever they are."""
+        return self.silver.fiscal_calendar_from_data()

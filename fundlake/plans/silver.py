@@ -41,6 +41,17 @@ def conform_claims(raw: DataFrame) -> DataFrame:
         fiscal.fiscal_year("submission_date").alias("fiscal_year"))
 
 
+def conform_allocations(raw: DataFrame) -> DataFrame:
+    return raw.select("allocation_id", "dealer_id", "program_id", fiscal.fy_label("fy").alias("fiscal_year"),
+                      "allocated_usd", "allocation_date", "expiration_date", "allocation_source")
+
+
+def conform_orders(raw: DataFrame) -> DataFrame:
+    return raw.select(F.concat_ws("-", "order_id", F.col("line_no").cast("string"), "line_key").alias("order_line_id"),
+                      "order_id", "line_no", "dealer_id", "product_family", "order_date", "ship_date",
+                      "net_revenue_usd", fiscal.fiscal_year("order_date").alias("fiscal_year"))
+
+
 class Silver:
     """Silver tables over one driver directory."""
 
@@ -99,20 +110,11 @@ class Silver:
 
     @cached_property
     def coop_allocation(self) -> DataFrame:
-        a = self.dom.coop_allocation
-        return quality.apply_rules(
-            a.select("allocation_id", "dealer_id", "program_id", fiscal.fy_label("fy").alias("fiscal_year"),
-                     "allocated_usd", "allocation_date", "expiration_date", "allocation_source"),
-            quality.ALLOCATION_RULES)
+        return quality.apply_rules(conform_allocations(self.dom.coop_allocation), quality.ALLOCATION_RULES)
 
     @cached_property
     def sell_through_order(self) -> DataFrame:
-        o = self.dom.sell_through_order
-        return quality.apply_rules(
-            o.select(F.concat_ws("-", "order_id", F.col("line_no").cast("string"), "line_key").alias("order_line_id"),
-                     "order_id", "line_no", "dealer_id", "product_family", "order_date", "ship_date",
-                     "net_revenue_usd", fiscal.fiscal_year("order_date").alias("fiscal_year")),
-            quality.ORDER_RULES)
+        return quality.apply_rules(conform_orders(self.dom.sell_through_order), quality.ORDER_RULES)
 
     @cached_property
     def marketing_event(self) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from fundlake.sources.domain import dealer_key, N_ACTIVITIES
 from fundlake.sources.driver import read_table
 from fundlake.session import checkpoint_root, path_exists
+from fundlake.operators import quality
 from fundlake.streaming import streams
 
 REGISTRY: dict = {}
@@ -179,6 +180,20 @@ def stream_sliding_density_7d(spark, sf_dir):
                                   ["window_start", "window_end", "dealer_id", "n_events"])
 
 
+DENSITY_LIMIT = 20
+
+
+@register("stream_density_alerts", _with(_TR_SQL, f"""
+SELECT dealer_id, count(*) AS n_windows, max(n_events) AS max_events, min(window_start) AS first_window FROM (
+  SELECT window_start, dealer_id, count(*) AS n_events
+  FROM (SELECT dealer_id, date_trunc('day', ts) - to_days(CAST(i AS INTEGER)) AS window_start FROM tr, range(0, 7) r(i)) x GROUP BY 1, 2) y
+WHERE n_events > {DENSITY_LIMIT} GROUP BY 1"""))
+def stream_density_alerts(spark, sf_dir):
+    """Dealers with more than 20 transitions in a sliding window of seven days, from the stream's counts."""
+    r = stream_sliding_density_7d(spark, sf_dir).where(F.col("n_events") > DENSITY_LIMIT)
+    return r.groupBy("dealer_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("n_events").alias("max_events"), F.min("window_start").alias("first_window"))
+
+
 # --------------------------------------------------------------------------- L9
 @register("stream_sessions", _with(_EV_SQL, """
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events
@@ -383,3 +398,75 @@ def stream_scd2_dealer_history(spark, sf_dir):
     h = spark.read.parquet(hist)
     return h.select("account_id", "dealer_id", "dealer_name", "tier", "region_id", "country", "sales_rep_id",
                     "effective_from", "effective_to", "is_current")
+
+
+# ----------------------------------------------------------------------- B4: facts as streams
+FILES_PER_BATCH = 4
+
+
+def silver_stream(spark, bronze: DataFrame, conform, rules: dict[str, str], name: str) -> DataFrame:
+    """One bronze feed through a stream to its silver table and its quarantine; both read back, with ``reason``
+    (empty: silver).  The feed is staged in one write and read ``FILES_PER_BATCH`` files a batch."""
+    src = streams.stage_once(bronze, checkpoint_root(spark, f"bronze-{name}"))
+    silver, quarantine = checkpoint_root(spark, f"silver-{name}"), checkpoint_root(spark, f"quarantine-{name}")
+    streams.bronze_to_silver(spark, src, bronze.schema, conform, rules, silver, quarantine, name, FILES_PER_BATCH)
+    good = spark.read.parquet(silver).drop("_batch_id").withColumn("reason", F.lit(""))
+    return good.unionByName(spark.read.parquet(quarantine).drop("_batch_id"))
+
+
+def _dirt_sql():
+    from fundlake.plans.catalog_ops import DIRTY_SQL
+    from fundlake.plans.oracle import q
+    claims = q("""
+SELECT claim_id, 'FY' || lpad(CAST(fy % 100 AS VARCHAR), 2, '0') AS fiscal_year, CAST(requested_amount_usd AS DECIMAL(12,2)) AS requested_amount_usd,
+       concat_ws(',', CASE WHEN NOT r1 THEN 'claim_amount_positive' END, CASE WHEN NOT r2 THEN 'status_valid' END,
+                 CASE WHEN NOT r3 THEN 'paid_le_approved' END, CASE WHEN NOT r4 THEN 'dealer_not_null' END) AS reason FROM dirty_tagged""", DIRTY_SQL)
+    allocations = q("""
+SELECT allocation_id, 'FY' || lpad(CAST(fy % 100 AS VARCHAR), 2, '0') AS fiscal_year,
+       CASE WHEN (n + fy) % 97 = 0 THEN CAST(0 AS DECIMAL(14,2)) ELSE allocated_usd END AS allocated_usd,
+       concat_ws(',', CASE WHEN (n + fy) % 97 = 0 THEN 'alloc_amount_positive' END, CASE WHEN (n + fy) % 89 = 0 THEN 'alloc_dates_ordered' END) AS reason
+FROM (SELECT *, CAST(substr(dealer_id, 3) AS BIGINT) AS n FROM coop_allocation) x""")
+    orders = q("""
+SELECT concat_ws('-', order_id, line_no, line_key) AS order_line_id,
+       'FY' || lpad(CAST((year(order_date) - CASE WHEN month(order_date) < 3 THEN 1 ELSE 0 END) % 100 AS VARCHAR), 2, '0') AS fiscal_year,
+       CASE WHEN CAST(substr(order_id, 3) AS BIGINT) % 101 = 0 THEN -net_revenue_usd ELSE net_revenue_usd END AS net_revenue_usd,
+       CASE WHEN CAST(substr(order_id, 3) AS BIGINT) % 101 = 0 AND net_revenue_usd > 0 THEN 'order_amount_nonneg' ELSE '' END AS reason
+FROM sell_through_order""")
+    return claims, allocations, orders
+
+
+_CLAIMS_SQL, _ALLOCATIONS_SQL, _ORDERS_SQL = _dirt_sql()
+
+
+@register("stream_silver_claims", _CLAIMS_SQL)
+def stream_silver_claims(spark, sf_dir):
+    """The raw claim feed (with planted defects) as a stream to silver and quarantine."""
+    from fundlake.plans.silver import conform_claims
+    from fundlake.sources.domain import Domain
+    r = silver_stream(spark, Domain(spark, sf_dir).dirty_claims, conform_claims, quality.CLAIM_STREAM_RULES, "claims")
+    return r.select("claim_id", "fiscal_year", "requested_amount_usd", "reason")
+
+
+@register("stream_silver_allocations", _ALLOCATIONS_SQL)
+def stream_silver_allocations(spark, sf_dir):
+    """Allocations as a stream; the feed is a stand-in with amounts of 0 and dates out of order by dealer and year."""
+    from fundlake.plans.silver import conform_allocations
+    from fundlake.sources.domain import Domain
+    k = F.substring("dealer_id", 3, 32).cast("bigint") + F.col("fy")
+    a = Domain(spark, sf_dir).coop_allocation \
+        .withColumn("allocated_usd", F.when(k % 97 == 0, F.lit(0).cast("decimal(14,2)")).otherwise(F.col("allocated_usd"))) \
+        .withColumn("expiration_date", F.when(k % 89 == 0, F.date_sub("allocation_date", 1)).otherwise(F.col("expiration_date")))
+    r = silver_stream(spark, a, conform_allocations, quality.ALLOCATION_RULES, "allocations")
+    return r.select("allocation_id", "fiscal_year", "allocated_usd", "reason")
+
+
+@register("stream_silver_orders", _ORDERS_SQL)
+def stream_silver_orders(spark, sf_dir):
+    """Order lines as a stream; the feed is a stand-in in which every 101st order is a credit below zero."""
+    from fundlake.plans.silver import conform_orders
+    from fundlake.sources.domain import Domain
+    credit = F.substring("order_id", 3, 32).cast("bigint") % 101 == 0
+    o = Domain(spark, sf_dir).sell_through_order.withColumn(
+        "net_revenue_usd", F.when(credit, -F.col("net_revenue_usd")).otherwise(F.col("net_revenue_usd")).cast("decimal(14,2)"))
+    r = silver_stream(spark, o, conform_orders, quality.ORDER_RULES, "orders")
+    return r.select("order_line_id", "fiscal_year", "net_revenue_usd", "reason")

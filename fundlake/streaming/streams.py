@@ -41,6 +41,12 @@ def stage_files(df: DataFrame, dest: str, chunk_col: str, order: list, sort: lis
     return paths
 
 
+def stage_once(df: DataFrame, dest: str) -> str:
+    """Write ``df`` to ``dest`` in one pass, for jobs to which the order of the files means nothing."""
+    df.write.parquet(dest)
+    return dest
+
+
 def file_stream(spark: SparkSession, path_glob: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
     """A4: incremental file ingest with a pinned schema (no inference, no evolution)."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
@@ -115,13 +121,13 @@ def ingest_bronze(spark: SparkSession, src_glob: str, schema: T.StructType, dest
 
 def bronze_to_silver(spark: SparkSession, bronze_glob: str, schema: T.StructType,
                      transform: Callable[[DataFrame], DataFrame], rules: dict[str, str],
-                     silver_path: str, quarantine_path: str, name: str) -> None:
+                     silver_path: str, quarantine_path: str, name: str, max_files: int = 1) -> None:
     """L2 / L3: stateless conform + drop rules, failing rows to a quarantine table.
 
     One pass tags the failed rule names; ``foreachBatch`` writes the two sides.
     A replayed batch id overwrites its own folder, so the sink is idempotent.
     """
-    sdf = quality.tag_failures(transform(file_stream(spark, bronze_glob, schema)), rules)
+    sdf = quality.tag_failures(transform(file_stream(spark, bronze_glob, schema, max_files)), rules)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # one pass tags rows; both sides overwrite this batch's folders (idempotent replay)

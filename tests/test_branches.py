@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from conftest import SF_MID
 from fundlake.functions import keys
-from fundlake.operators import rules
+from fundlake.operators import corpus, quality, rules
+from fundlake.streaming import catalog_streams
 
 Q = E.queries()
 
@@ -102,3 +103,47 @@ def test_key_parts(spark):
                                        keys.activity_category(F.col("a"))).collect()]
     assert got == [("AMER", "WEST-2", "FY26", "Digital"), ("EMEA", "1", "FY98", "Digital"), (None, None, None, None), (None, None, "FY26", None),
                    (None, None, None, None)]
+
+
+def test_markdown_columns(spark):
+    fields = {"title": "string", "version": "string", "expires": "date"}
+    texts = ["---\ntitle: A: b\nversion: FY26.1\nexpires: 2027-02-28\n---\nbody\n---\nversion: 2\n", "---\r\ntitle:  t \r\nexpires: soon\r\n---\r\nversion: body\r\n",
+             "no block\n---\ntitle: x\n---\n", "---\ntitle: open\n", "", None, "---\ntitle:\n---"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, md string")
+    got = [tuple(r)[2:] for r in corpus.markdown_columns(df, fields).orderBy("i").collect()]
+    assert got == [("A: b", "FY26.1", dt.date(2027, 2, 28), "body\n---\nversion: 2\n"), ("t", None, None, "version: body\r\n"),
+                   (None, None, None, texts[2]), (None, None, None, texts[3]), (None, None, None, ""), (None, None, None, None), (None, None, None, "")]
+
+
+def test_version_occurs_and_misses(spark):
+    r = Q["corpus_markdown_files"](spark, SF_MID)
+    assert r.where("version IS NULL").count() > 0 and r.where("version = 'none'").count() == 0 and r.where("version LIKE 'FY0%'").count() > 0
+
+
+def test_fact_stream_over_several_batches(spark):
+    bronze = spark.range(1000).select("id", (F.col("id") % 10 - 1).alias("amount")).repartition(9)
+    r = catalog_streams.silver_stream(spark, bronze, lambda d: d.withColumn("twice", F.col("amount") * 2), {"positive": "amount > 0", "small": "id < 900"}, "planted")
+    tagged = quality.tag_failures(bronze.withColumn("twice", F.col("amount") * 2), {"positive": "amount > 0", "small": "id < 900"})
+    want = tagged.select("id", "amount", "twice", F.array_join("failed_rules", ",").alias("reason"))
+    assert r.exceptAll(want).isEmpty() and want.exceptAll(r).isEmpty()
+    # nine files and more batches than one
+    assert r.count() == 1000 and len({f.split("_batch_id=")[1].split("/")[0] for f in r.inputFiles()}) >= 2
+
+
+def test_every_fact_has_silver_and_quarantined_rows(spark):
+    for name in ("stream_silver_claims", "stream_silver_allocations", "stream_silver_orders"):
+        assert _values(Q[name](spark, SF_MID).select((F.col("reason") == "").alias("silver")), "silver") == {(True,), (False,)}, name
+
+
+def test_density_alerts_occur(spark):
+    r = Q["stream_density_alerts"](spark, SF_MID)
+    assert r.count() > 0 and r.where(f"max_events <= {catalog_streams.DENSITY_LIMIT}").count() == 0
+
+
+def test_calendar_follows_the_claims(spark):
+    """K2: the quarter of a snapshot far outside the driver's years is known."""
+    from fundlake.plans.model import Model
+    m = Model(spark, SF_MID)
+    m.silver.dom.__dict__["fiscal_years"] = spark.createDataFrame([(2031,), (2033,)], "fy int")
+    r = m.dim_fiscal_calendar.agg(F.min("date_key"), F.max("date_key"), F.count_if(F.col("fiscal_quarter").isNull())).first()
+    assert tuple(r) == (dt.date(2031, 3, 1), dt.date(2034, 2, 28), 0)
