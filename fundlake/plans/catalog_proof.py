@@ -99,7 +99,8 @@ SELECT code, count(*) AS n_claims FROM (
   WHERE e.status = 'Rejected') x GROUP BY code""", _RULES_SQL + ",\n" + _PROOF_SQL + ",\n" + _FILED_SQL))
 def rule_rejection_reasons(spark, sf_dir):
     """Rejection code of every rejected claim with all seven branches: brand score from the points by
-    dimension, venue outside the dealer's region, missing proof documents, filed for two programs."""
+    dimension, venue outside the dealer's region, missing proof documents, filed for two programs.  The joined sides
+    have about a row a claim, so they are never broadcast."""
     m = _m(spark, sf_dir)
     filed = rules.eligibility(filed_claims(m), rules.activity_rules(spark))
     a = F.broadcast(m.silver.activity_type.select("activity_type_id", "requires_preapproval", "preapproval_threshold_usd"))
@@ -107,7 +108,7 @@ def rule_rejection_reasons(spark, sf_dir):
     dips = filed_claims(m).groupBy(*same).agg(F.countDistinct("program_id").alias("n_programs"))
     papers = proof.completeness(m.silver.coop_claim, proof.requirements(spark), proof_files(m)).select(F.col("claim_id").alias("base_id"), "n_missing")
     j = (filed.where("status = 'Rejected'").withColumn("base_id", F.regexp_replace("claim_id", "-B$", ""))
-         .join(a, "activity_type_id", "left").join(papers, "base_id", "left").join(dips, same, "left"))
+         .join(a, "activity_type_id", "left").join(papers.hint("merge"), "base_id", "left").join(dips.hint("merge"), same, "left"))
 
     def sure(c):
         return F.coalesce(c, F.lit(False))
