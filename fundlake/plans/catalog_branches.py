@@ -336,6 +336,7 @@ def q_average_lift_by_tier(spark, sf_dir):
 
 # ------------------------------------------------------- markdown files
 FRONT_MATTER = {"doc_id": "bigint", "title": "string", "audience": "string", "region": "string", "effective_date": "date", "expires": "date", "version": "string"}
+FOLDER_FILES = 1000
 
 
 def markdown_files(spark, sf_dir) -> str:
@@ -349,7 +350,11 @@ def markdown_files(spark, sf_dir) -> str:
             F.when(k % 10 != 0, F.concat(F.lit("version: FY0"), (k % 7).cast("string"), F.lit("."), (k % 4 + 1).cast("string"))), F.lit("---"),
             F.when(k % 4 == 0, F.lit("version: none")), F.coalesce("text", F.lit(""))]
     path = checkpoint_root(spark, "markdown")
-    c.select("doc_id", F.concat_ws("\n", *line).alias("value")).withColumnRenamed("doc_id", "doc").write.partitionBy("doc").text(path)
+    # a file a row, in folders that one task each fills and the commit moves whole
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-c.count() // FOLDER_FILES))
+    folder = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("folder")
+    c.select(F.concat_ws("\n", *line).alias("value"), folder).repartition(n, "folder") \
+        .write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
