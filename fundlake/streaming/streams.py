@@ -162,7 +162,8 @@ def dedupe_within_watermark(sdf: DataFrame, ts: str, key: list[str], delay: str
 
 
 STATE_OUT = "claim_id string, opened long, status string, status_rank int, n_accepted long, n_rejected long, last long, closed boolean"
-STATE_SCHEMA = "opened long, code int, n_accepted long, n_rejected long, last long"
+STATE_SCHEMA = "claim_id array<string>, opened array<long>, code array<int>, n_accepted array<long>, n_rejected array<long>, last array<long>"
+CLAIM_BUCKETS = 4096  # groups of claims with one state each; part of the checkpoint, so it never changes
 _STATUSES = list(STATUS_RANK)
 _RANKS = np.array([*STATUS_RANK.values(), -1])  # by code: the place in _STATUSES, the last one any other status
 
@@ -193,45 +194,62 @@ def _fold(state: tuple | None, us: np.ndarray, code: np.ndarray, ttl_us: int) ->
     return lives
 
 
-def _claim_rows(claim: str, lives: list[tuple], closed: bool) -> pd.DataFrame:
-    """All lives but the last are closed; the last one is if ``closed``."""
+def _claim_rows(rows: list[tuple]) -> pd.DataFrame:
+    """A row for each (claim, life, closed)."""
+    claims, lives, closed = zip(*rows)
     opened, code, accepted, rejected, last = zip(*lives)
-    return pd.DataFrame({"claim_id": claim, "opened": opened, "status": [(*_STATUSES, None)[c] for c in code],
+    return pd.DataFrame({"claim_id": pd.Series(claims, dtype=object), "opened": opened, "status": pd.Series([(*_STATUSES, None)[c] for c in code], dtype=object),
                          "status_rank": _RANKS[list(code)].astype("int32"), "n_accepted": accepted, "n_rejected": rejected,
-                         "last": last, "closed": [True] * (len(lives) - 1) + [closed]})
+                         "last": last, "closed": closed})
 
 
 def _advance(ttl_us: int):
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
+    def run(_key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {c: tuple(life) for c, *life in zip(*state.get)} if state.exists else {}
+        out, seen = [], set()
+        # of the rows in a batch only three narrow arrays and the claims are kept, whatever their number
+        parts = [] if state.hasTimedOut else \
+            [[p[c].to_numpy() for c in ("claim_id", "us", "event_id", "code")] for p in pdfs if len(p)]
+        if parts:
+            claims, us, ids, code = (np.concatenate(x) for x in zip(*parts))
+            number, names = pd.factorize(claims, use_na_sentinel=False)
+            order = np.lexsort((ids, us, number))
+            number, us, code = number[order], us[order], code[order]
+            cuts = np.flatnonzero(np.diff(number)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(us)]):
+                claim = names[number[a]]
+                claim = claim if isinstance(claim, str) else None
+                lives = _fold(held.get(claim), us[a:b], code[a:b], ttl_us)
+                held[claim] = lives[-1]
+                seen.add(claim)
+                out += [(claim, life, True) for life in lives[:-1]] + [(claim, lives[-1], False)]
+        now = state.getCurrentWatermarkMs()
+        for claim in [c for c, life in held.items() if c not in seen and (life[4] + ttl_us) // 1000 < now]:
+            out.append((claim, held.pop(claim), True))
+        if held:
+            state.update((list(held), *[[int(x) for x in column] for column in zip(*held.values())]))
+            state.setTimeoutTimestamp((min(life[4] for life in held.values()) + ttl_us) // 1000)
+        elif state.exists:
             state.remove()
-            yield _claim_rows(key[0], [held], True)
-            return
-        # of a claim's rows in a batch only three narrow arrays are kept, whatever their number
-        parts = [(p["us"].to_numpy(np.int64), p["event_id"].to_numpy(np.int64),
-                  p["status"].map(_STATUSES.index, na_action="ignore").fillna(len(_STATUSES)).to_numpy(np.int8)) for p in pdfs if len(p)]
-        us, ids, code = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((ids, us))
-        lives = _fold(held, us[order], code[order], ttl_us)
-        state.update(lives[-1])
-        state.setTimeoutTimestamp((lives[-1][4] + ttl_us) // 1000)
-        yield _claim_rows(key[0], lives, False)
+        if out:
+            yield _claim_rows(out)
     return run
 
 
 def claim_state_machine(sdf: DataFrame, ttl_days: int = 30, watermark: str = "1 hour") -> DataFrame:
     """Per-claim state from transition events (applyInPandasWithState).
 
-    Rows of one claim inside a micro-batch arrive as one group; state carries the accepted
-    status across batches.  Input order within a claim is (ts, event_id).  A claim without a
+    Claims are dealt by hash into ``CLAIM_BUCKETS`` groups, so that a micro-batch calls Python once for many claims;
+    the state of a group carries the accepted status of its open claims across batches.  Input order within a claim is (ts, event_id).  A claim without a
     transition for ``ttl_days`` is closed: its state goes when the watermark passes that
     moment, a later transition opens the claim anew.  A pause is measured between the event
     times themselves, so the rows do not depend on the batches.  Output: a row for each claim
     and opening, again each time it changes.  Transitions older than the watermark are dropped.
     """
-    rows = sdf.withWatermark("ts", watermark).select("claim_id", "ts", F.unix_micros("ts").alias("us"), "event_id", "status")
-    out = rows.groupBy("claim_id").applyInPandasWithState(
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, _STATUSES)), F.col("status")), F.lit(0)), F.lit(len(_STATUSES) + 1)) - 1
+    rows = sdf.withWatermark("ts", watermark).select(F.pmod(F.xxhash64("claim_id"), F.lit(CLAIM_BUCKETS)).cast("int").alias("bucket"),
+                                                     "claim_id", "ts", F.unix_micros("ts").alias("us"), "event_id", place.cast("int").alias("code"))
+    out = rows.groupBy("bucket").applyInPandasWithState(
         _advance(ttl_days * 86_400_000_000), STATE_OUT, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
     return out.select("claim_id", F.timestamp_micros("opened").alias("opened_ts"), "status", "status_rank", "n_accepted", "n_rejected",
                       F.timestamp_micros("last").alias("last_ts"), "closed")
