@@ -353,8 +353,9 @@ def markdown_files(spark, sf_dir) -> str:
     # a file a row, in folders that one task each fills and the commit moves whole
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-c.count() // FOLDER_FILES))
     folder = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("folder")
-    c.select(F.concat_ws("\n", *line).alias("value"), folder).repartition(n, "folder") \
-        .write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    texts = c.select("doc_id", F.concat_ws("\n", *line).alias("value"), folder).repartition(n, "folder").groupBy("folder", "doc_id") \
+        .agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("value"))  # an id that stands twice is one file
+    texts.select("value", "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
     return path
 
 

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from fundlake.operators import corpus, proof, windows
 from fundlake.plans import catalog_branches
-from fundlake.sources import workbook
+from fundlake.sources import files, workbook
 from fundlake.sources.domain import Domain
 from fundlake.streaming import streams
 
@@ -83,6 +83,9 @@ def test_markdown_files_stand_in_few_folders(spark, monkeypatch):
     folders = [d for d in os.listdir(path) if "=" in d]
     n = sum(f.endswith(".txt") for d in folders for f in os.listdir(f"{path}/{d}"))
     assert n == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count() and len(folders) <= 8
+    twice = catalog_branches.corpus_rows(spark, SF_SMALL).where("doc_id < 5")
+    monkeypatch.setattr(catalog_branches, "corpus_rows", lambda *_: twice.unionByName(twice))
+    assert files.read_markdown(spark, catalog_branches.markdown_files(spark, SF_SMALL)).count() == 5  # an id is one file
 
 
 def test_claims_of_a_batch_share_python_calls(spark, tmp_path, monkeypatch):
