@@ -31,6 +31,7 @@ INITIATIVE_PROGRAM = "-LAB"
 BEFORE_FY = "FY99"  # the year before PRIOR_FY
 # A snapshot 44 days before the fiscal year's end, for questions about the next 60 days.
 LATE_AS_OF, SOON_DAYS = "2002-01-15", 60
+CLAIMS_A_TASK = 250_000  # claims that one task joins, multiplies and groups
 
 
 def register(name: str, sql: str | None):
@@ -54,8 +55,13 @@ def _by(values: dict, col: str, cast: str) -> F.Column:
 # ------------------------------------------------------------------- audit
 def audited_claims(m) -> DataFrame:
     """Stand-in for claims with a venue: every ninth claim is executed elsewhere; a dealer whose number is divisible
-    by 25 files each claim in 24 parts on up to seven days."""
+    by 25 files each claim in 24 parts on up to seven days.
+
+    A claim is few bytes until it is joined, so shuffled claims sized by bytes were millions in one task, which then
+    made, grouped and sorted their parts.  They are dealt by number, and what groups by dealer needs no further exchange."""
     c = m.silver.coop_claim.select("claim_id", "dealer_id", "fiscal_year", "submission_date", "preapproval_id")
+    n = max(int(m.spark.conf.get("spark.sql.shuffle.partitions")), -(-c.count() // CLAIMS_A_TASK))
+    c = c.repartition(n, "dealer_id")
     c = c.join(m.dealer_flat.select("dealer_id", "region"), "dealer_id", "left")
     parts = F.when(_number("dealer_id") % 25 == 0, F.sequence(F.lit(0), F.lit(23))).otherwise(F.array(F.lit(0)))
     x = c.withColumn("part", F.explode(parts))
