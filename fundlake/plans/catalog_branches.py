@@ -356,12 +356,12 @@ def markdown_files(spark, sf_dir) -> str:
             F.when(k % 10 != 0, F.concat(F.lit("version: FY0"), (k % 7).cast("string"), F.lit("."), (k % 4 + 1).cast("string"))), F.lit("---"),
             F.when(k % 4 == 0, F.lit("version: none")), F.coalesce("text", F.lit(""))]
     path = checkpoint_root(spark, "markdown")
-    # a file a row, in folders that one task each fills and the commit moves whole
+    # a file a row, in folders that one task each fills
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-c.count() // FOLDER_FILES))
     folder = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("folder")
     texts = c.select("doc_id", F.concat_ws("\n", *line).alias("value"), folder).repartition(n, "folder").groupBy("folder", "doc_id") \
         .agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("value"))  # an id that stands twice is one file
-    texts.select("value", "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    files.write_texts(texts.withColumn("name", F.concat(F.lit("doc"), F.coalesce(k.cast("string"), F.lit("")))), path)
     return path
 
 
